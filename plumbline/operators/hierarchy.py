@@ -52,13 +52,15 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
 
     limit = max(HOT_CHILDREN, total // (4 * parts))  # at most 4 * parts parents can be hot
     hot = [r[0] for r in base.where("parent is not null").groupBy("parent").count().where(F.col("count") > limit).select("parent").collect()] if total > limit else []
-    is_hot = (lambda c: F.col(c).isin(hot)) if hot else (lambda c: F.lit(False))
+    # One column links edges and frontier, so that the edges' partitioning and order serve every level's join.
+    salted = lambda c, salt: F.when(F.col(c).isin(hot), F.concat_ws("#", c, salt)).otherwise(F.col(c)) if hot else F.col(c)
+    spread = lambda c: F.explode(F.when(F.col(c).isin(hot), F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.concat_ws("#", F.col(c), s.cast("string")))).otherwise(F.array(c))) if hot else F.col(c)
 
     extra: list[str] = (["path"] if paths else []) + (["up"] if ancestors else [])
     edges = base.where("parent is not null").select(
-        "parent", F.when(is_hot("parent"), F.pmod(F.hash("key"), F.lit(SALTS))).otherwise(0).alias("salt"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else [])
+        salted("parent", F.pmod(F.hash("key"), F.lit(SALTS)).cast("string")).alias("link"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else [])
     )
-    edges = edges.repartition(parts, "parent", "salt").sortWithinPartitions("parent", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    edges = edges.repartition(parts, "link").sortWithinPartitions("link").persist(StorageLevel.MEMORY_AND_DISK)
     edges.count()
 
     into = new_path(spark, "levels")
@@ -69,11 +71,11 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
     schema, level = frontier.schema, 0
     while n:
         level += 1
-        spread = frontier.select(F.col("key").alias("parent"), F.explode(F.when(is_hot("key"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"), F.col("id").alias("parent_id"), "root", *extra)
+        ends = frontier.select(spread("key").alias("link"), "root", *extra, *([F.col("id").alias("parent_id")] if ancestors else []))
         step = [F.col("child").alias("key"), F.col("child_id").alias("id"), F.col("root"), F.lit(level).alias("depth")]
         step += [F.concat(F.col("path"), F.lit(separator), F.coalesce("name", "child_id")).alias("path")] if paths else []
         step += [F.concat(F.col("up"), F.array("parent_id")).alias("up")] if ancestors else []
-        frontier, n = cut_counted(spread.join(edges, ["parent", "salt"]).select(*step), path=f"{into}/level={level}")
+        frontier, n = cut_counted(ends.join(edges, "link").select(*step), path=f"{into}/level={level}")
     reached = spark.read.schema(schema).parquet(into)
     edges.unpersist()
 
