@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..runtime import cut, cut_counted
 
 #: Vectors of a model that the index is fitted on at most, vectors a part should hold, and most parts of an index.
-SAMPLE, PART, PARTS = 20_000, 1_000, 512
+SAMPLE, PART, PARTS = 12_000, 1_000, 512
 #: Parts a query is sent to: the most probable ones up to this share of probability, this many at least and at most.
 PROBES_LEAST, PROBES_MOST, PROBABILITY = 4, 24, 0.99
 #: Rows of a block of a part; a part that grows beyond that is searched block by block.
