@@ -9,7 +9,9 @@ Defined results:
 - of several rows of an id the one with the latest order column counts, ties by the greatest row;
 - a parent that is null, blank or not among the ids makes a root: depth 0, its own root;
 - a node on a cycle (its own parent included) has depth -1, one whose ancestors run into a cycle -2; for
-  both the root is the smallest id on that cycle, and path and ancestors are null;
+  both the root is the smallest id on that cycle, and path is null, as it has no beginning;
+- ancestors of a node of depth -2 are all nodes its parent links lead to, the cycle's first, each once; a node
+  of depth -1 has null there, and the other members of its cycle in a column of their own, cycle;
 - an empty table gives an empty result; columns other than those named are ignored.
 """
 
@@ -41,7 +43,7 @@ def latest_nodes(df: DataFrame, id_col: str, parent_col: str, name_col: str | No
 
 
 def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None = None, order_col: str | None = None, *, paths: bool = True, ancestors: bool = False, separator: str = "/") -> DataFrame:
-    """For each node: node_id, root_id, depth, and with paths path, with ancestors their ids from the root down."""
+    """For each node: node_id, root_id, depth, and with paths path, with ancestors their ids from the root down, and cycle."""
     spark = df.sparkSession
     parts = partitions(spark)
     nodes = latest_nodes(df, id_col, parent_col, name_col, order_col)
@@ -57,43 +59,55 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
     spread = lambda c: F.explode(F.when(F.col(c).isin(hot), F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.concat_ws("#", F.col(c), s.cast("string")))).otherwise(F.array(c))) if hot else F.col(c)
 
     extra: list[str] = (["path"] if paths else []) + (["up"] if ancestors else [])
-    edges = base.where("parent is not null").select(
-        salted("parent", F.pmod(F.hash("key"), F.lit(SALTS)).cast("string")).alias("link"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else [])
-    )
-    edges = edges.repartition(parts, "link").sortWithinPartitions("link").persist(StorageLevel.MEMORY_AND_DISK)
-    edges.count()
 
-    into = new_path(spark, "levels")
+    def links(df: DataFrame) -> DataFrame:
+        e = df.where("parent is not null").select(salted("parent", F.pmod(F.hash("key"), F.lit(SALTS)).cast("string")).alias("link"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else []))
+        e = e.repartition(parts, "link").sortWithinPartitions("link").persist(StorageLevel.MEMORY_AND_DISK)
+        e.count()
+        return e
+
+    def descend(start: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
+        """Start as level 0, and those of nodes that lie on the levels below it."""
+        edges, into = links(nodes), new_path(spark, what)
+        frontier, n = cut_counted(start, path=f"{into}/level=0")
+        schema, level = frontier.schema, 0
+        while n:
+            level += 1
+            ends = frontier.select(spread("key").alias("link"), "root", *extra, *([F.col("id").alias("parent_id")] if ancestors else []))
+            step = [F.col("child").alias("key"), F.col("child_id").alias("id"), F.col("root"), F.lit(level).alias("depth")]
+            step += [F.concat(F.col("path"), F.lit(separator), F.coalesce("name", "child_id")).alias("path")] if paths else []
+            step += [F.concat(F.col("up"), F.array("parent_id")).alias("up")] if ancestors else []
+            frontier, n = cut_counted(ends.join(edges, "link").select(*step), path=f"{into}/level={level}")
+        edges.unpersist()
+        return spark.read.schema(schema).parquet(into)
+
     start = [F.col("key"), F.col("id"), F.col("id").alias("root"), F.lit(0).alias("depth")]
     start += [F.coalesce("name", "id").alias("path")] if paths else []
     start += [F.array().cast("array<string>").alias("up")] if ancestors else []
-    frontier, n = cut_counted(base.where("parent is null").select(*start), path=f"{into}/level=0")
-    schema, level = frontier.schema, 0
-    while n:
-        level += 1
-        ends = frontier.select(spread("key").alias("link"), "root", *extra, *([F.col("id").alias("parent_id")] if ancestors else []))
-        step = [F.col("child").alias("key"), F.col("child_id").alias("id"), F.col("root"), F.lit(level).alias("depth")]
-        step += [F.concat(F.col("path"), F.lit(separator), F.coalesce("name", "child_id")).alias("path")] if paths else []
-        step += [F.concat(F.col("up"), F.array("parent_id")).alias("up")] if ancestors else []
-        frontier, n = cut_counted(ends.join(edges, "link").select(*step), path=f"{into}/level={level}")
-    reached = spark.read.schema(schema).parquet(into)
-    edges.unpersist()
+    reached = descend(base.where("parent is null").select(*start), base, "levels")
 
     lost = base.join(reached.select("key"), "key", "left_anti").select("key", "id", "parent")
     cyclic = _cycles(lost)
-    for c, kind in (("path", "string"), ("up", "array<string>")):
-        if c in extra:
-            cyclic = cyclic.withColumn(c, F.lit(None).cast(kind))
-    names = {"path": "path", "up": "ancestors"}
+    no_path = [F.lit(None).cast("string").alias("path")] if paths else []
+    if ancestors:
+        cyclic = cut(cyclic.withColumn("name", F.lit(None).cast("string")), "cyclic")
+        rings = _rings(cyclic.where("depth = -1")).select("key", "id", "root", F.lit(0).alias("depth"), *no_path, "up")
+        below = descend(rings, cyclic.where("depth = -2"), "below")
+        on = F.col("level") == 0
+        cyclic = below.select("id", "root", F.when(on, -1).otherwise(-2).alias("depth"), *no_path, F.when(~on, F.col("up")).alias("up"), F.when(on, F.col("up")).alias("cycle"))
+        reached = reached.withColumn("cycle", F.lit(None).cast("array<string>"))
+    else:
+        cyclic = cyclic.select("id", "root", "depth", *no_path)
+    names = {"path": "path", "up": "ancestors", "cycle": "cycle"}
     both = reached.drop("key", "level").unionByName(cyclic)
-    return both.select(F.col("id").alias("node_id"), F.col("root").alias("root_id"), "depth", *[F.col(c).alias(names[c]) for c in extra])
+    return both.select(F.col("id").alias("node_id"), F.col("root").alias("root_id"), "depth", *[F.col(c).alias(names[c]) for c in [*extra, *(["cycle"] if ancestors else [])]])
 
 
 def _cycles(lost: DataFrame) -> DataFrame:
-    """Of nodes whose ancestors never end: id, root (the smallest id on the cycle), depth -1 on it and -2 off it."""
+    """Of nodes whose ancestors never end: key, id, parent, root (the smallest id on the cycle), depth -1 on it and -2 off it."""
     lost, n = cut_counted(lost, "lost")
     if not n:
-        return lost.select("id", F.col("id").alias("root"), F.lit(-1).alias("depth")).limit(0)
+        return lost.select("key", "id", "parent", F.col("id").alias("root"), F.lit(-1).alias("depth")).limit(0)
     # After k rounds `to` is 2**k links up and `least` the smallest of the 2**k nodes passed, itself included.
     jump = lost.select("key", F.col("parent").alias("to"), F.struct("key", "id").alias("least"))
     rounds = max(1, (n - 1).bit_length())
@@ -106,9 +120,22 @@ def _cycles(lost: DataFrame) -> DataFrame:
     on = jump.select(F.col("to").alias("key")).distinct().join(jump.select("key", F.col("least.id").alias("root")), "key")
     on = cut(on, "on-cycle")
     off = jump.join(on.select("key"), "key", "left_anti").select("key", "to").join(on.withColumnRenamed("key", "to"), "to").select("key", "root", F.lit(-2).alias("depth"))
-    return on.select("key", "root", F.lit(-1).alias("depth")).unionByName(off).join(lost.select("key", "id"), "key").select("id", "root", "depth")
+    return on.select("key", "root", F.lit(-1).alias("depth")).unionByName(off).join(lost, "key").select("key", "id", "parent", "root", "depth")
+
+
+def _rings(on: DataFrame) -> DataFrame:
+    """Of nodes on cycles: key, id, root, up (the other members of the cycle, the one farthest up first)."""
+    ring = on.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("id", "parent")))).alias("of"), F.min("key").alias("first"), F.count(F.lit(1)).cast("int").alias("n"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array().cast("array<string>"), lambda w, _: F.concat(w, F.array(F.when(F.size(w) == 0, F.col("first")).otherwise(F.col("of")[F.element_at(w, -1)]["parent"]))))
+    ring = ring.withColumn("walk", walk).withColumn("ids", F.transform("walk", lambda k: F.col("of")[k]["id"]))
+    each = ring.select("root", "n", "walk", "ids", F.posexplode("walk").alias("at", "key"))
+    return each.select("key", F.col("ids")[F.col("at")].alias("id"), "root", F.reverse(F.slice(F.concat("ids", "ids"), F.col("at") + 2, F.col("n") - 1)).alias("up"))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
-    """Ancestor pairs of a result with ancestors: ancestor_id, descendant_id, distance."""
-    return resolved.where("depth > 0").select(F.col("node_id").alias("descendant_id"), "depth", F.posexplode("ancestors").alias("at", "ancestor_id")).select("ancestor_id", "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))
+    """Ancestor pairs of a result with ancestors: ancestor_id, descendant_id, distance.
+
+    Whatever the parent links of a node lead to is its ancestor, on cycles and below them too; only itself is not.
+    """
+    up = resolved.select(F.col("node_id").alias("descendant_id"), F.coalesce("ancestors", "cycle").alias("up"))
+    return up.select("descendant_id", F.size("up").alias("n"), F.posexplode("up").alias("at", "ancestor_id")).select("ancestor_id", "descendant_id", (F.col("n") - F.col("at")).alias("distance"))

@@ -71,3 +71,31 @@ def test_random_forest(spark, seed):
     r = random.Random(seed)
     rows = [(f"n{i}", r.choice([None, f"N{r.randrange(80)}", f"n{r.randrange(90)}"]), "x", r.randrange(3), "", "") for i in [r.randrange(80) for _ in range(120)]]
     assert {k: (x["root_id"], x["depth"]) for k, x in run(spark, rows).items()} == brute(rows)
+
+
+def brute_pairs(rows):
+    last = {}
+    for i, p, _, at, *_ in rows:
+        if i and i.strip():
+            last[i.strip().lower()] = max(last.get(i.strip().lower(), (-1, "", "")), (at, i.strip(), (p or "").strip().lower()))
+    out = set()
+    for k in last:
+        seen, x = [k], last[k][2]
+        while x in last and x not in seen:
+            out.add((last[x][1], last[k][1], len(seen)))
+            seen.append(x)
+            x = last[x][2]
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 3, 4])
+def test_descendants_on_and_below_cycles(spark, monkeypatch, seed):
+    monkeypatch.setattr(H, "HOT_CHILDREN", 3)
+    r = random.Random(seed)
+    rows = [(f"n{i}", r.choice([None, *[f"N{r.randrange(70)}"] * 5]), "x", r.randrange(3), "", "") for i in [r.randrange(70) for _ in range(110)]] if seed else CASES
+    x = H.resolve(spark.createDataFrame(rows, SCHEMA), "id", "parent", None, "at", paths=False, ancestors=True)
+    got = [tuple(p) for p in H.descendants(x).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows)
+    if not seed:
+        assert {("j", "k", 1), ("h", "k", 2), ("i", "k", 3), ("g", "k", 4), ("h", "i", 2)} <= set(got)
+        assert {p["node_id"]: p["cycle"] for p in x.where("depth = -1").collect()} == {"f": [], "g": ["i", "h"], "h": ["g", "i"], "i": ["h", "g"]}
