@@ -577,6 +577,15 @@ def call_chain(spark, d):
     return graph.call_chain(edges(spark, d), start, 3)
 
 
+@query(
+    f"""WITH RECURSIVE {_EDGES}, c AS (SELECT source_id, target_id FROM edges WHERE kind = 'Calls'), w AS (SELECT '1' AS symbol_id, 0 AS depth UNION ALL SELECT c.target_id, w.depth + 1 FROM w JOIN c ON c.source_id = w.symbol_id WHERE w.depth < 5)
+SELECT '1' AS start_id, symbol_id, depth, count(*) AS walks FROM w GROUP BY ALL"""
+)
+def call_chain_whole(spark, d):
+    """call_chain to the depth of the operator itself, 5; call_chain stays at 3, as its SQL."""
+    return graph.call_chain(edges(spark, d), spark.createDataFrame([("1",)], "symbol_id string"))
+
+
 @query(
     f"""WITH {_EDGES}, o AS (SELECT source_id AS symbol_id, target_id AS other_id, kind AS relation, row_number() OVER (PARTITION BY source_id ORDER BY line, target_id, kind) AS n FROM edges),
 i AS (SELECT target_id AS symbol_id, source_id AS other_id, 'CalledBy_' || kind AS relation, row_number() OVER (PARTITION BY target_id ORDER BY line, source_id, kind) AS n FROM edges)

@@ -14,6 +14,7 @@ from plumbline.functions import text as T
 from plumbline.functions import vector as V
 from plumbline.operators import graph, indexing, intent, jobs, response, search, stats
 from plumbline.operators import relational as R
+from plumbline.plans import queries
 from plumbline.sources import config, embeddings, files
 from plumbline.streaming import changes
 
@@ -95,6 +96,24 @@ def test_graph(spark):
     assert stats.hot_symbols(e).where("target_id = 'c'").first()["call_count"] == 1
 
 
+def test_call_chain_whole(spark, tmp_path):
+    walk, flags = [1, 2, 3, 4, 2, 5, 6, 7, 8], "RRRRRRARR"
+    lines = [(o, i, p, o, flags[i]) for o in (1, 2) for i, p in enumerate(walk)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    calls = [(str(a), str(b)) for a, b, f in zip(walk, walk[1:], flags) if f == "R"] * 2  # each order has its own edges
+    level, want = {"1": 1}, {("1", 0): 1}
+    for d in range(1, 6):
+        ends = {}
+        for a, b in calls:
+            if a in level:
+                ends[b] = ends.get(b, 0) + level[a]
+        level = ends
+        want |= {(k, d): n for k, n in ends.items()}
+    got = queries.QUERIES["call_chain_whole"](spark, str(tmp_path)).collect()
+    assert {(r["symbol_id"], r["depth"]): r["walks"] for r in got} == want and len(got) == len(want)
+    assert {d for _, d in want} == {0, 1, 2, 3, 4, 5}
+
+
 def test_index(spark):
     src = "class A:\n    def run(self, x):\n        return x\n\ndef main():\n    pass\n"
     f = spark.createDataFrame([("r", "b", "s", "a.py", src), ("r", "b", "s", "n.txt", "x"), ("r", "b", "s", "b.go", "type T struct {\nfunc (s *T) Do(a int) {\n")], "repo_id string, branch_name string, commit_sha string, file_path string, content string")
