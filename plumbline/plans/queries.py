@@ -647,6 +647,19 @@ def edge_resolution(spark, d):
     return indexing.resolve_edges(e, s, s.limit(0)).where("step = 'batch exact'").select("edge_id", "target_id")
 
 
+@query()
+def edge_resolution_steps(spark, d):
+    """Every chunk an edge from its symbol, or else the first one with a parent in its file, to the name it gives, by all steps: main is the batch, other branches the store."""
+    latest = lambda df, by, *cs: df.groupBy("id").agg(F.max(F.struct(by, *cs)).alias("x")).select("id", *[f"x.{c}" for c in cs])
+    place = ["repo_id", "branch_name", "file_path"]
+    s = latest(table(spark, d, "symbols"), "indexed_at", *place, "name", "qualified_name", "parent_symbol_id")
+    c = latest(table(spark, d, "code_chunks").where("symbol_name is not null"), "created_at", *place, "symbol_id", "symbol_name")
+    near = s.where("parent_symbol_id is not null").groupBy(*place).agg(F.min("id").alias("near"))
+    e = c.join(near, place, "left").select(F.col("id").alias("edge_id"), F.coalesce("symbol_id", "near").alias("source_id"), F.col("symbol_name").alias("target"), "repo_id", "branch_name")
+    s, main = s.drop("file_path"), F.col("branch_name") == "main"
+    return indexing.resolve_edges(e, s.where(main), s.where(~main)).select("edge_id", "source_id", "target_id", "step")
+
+
 @query("SELECT id, min(language) AS language FROM (SELECT id, language, 0 AS side FROM files WHERE branch_name = 'main' UNION ALL SELECT id, 'new', 1 FROM files WHERE id NOT IN (SELECT id FROM files WHERE branch_name = 'main')) GROUP BY 1")
 def upsert_keep_old(spark, d):
     f = table(spark, d, "files")

@@ -136,6 +136,17 @@ def test_edges_cascade(spark):
     assert got == {"e1": ("2", "batch exact"), "e2": ("9", "stored exact"), "e3": ("1", "batch base"), "e5": ("2", "sibling"), "e6": ("Nope", "unresolved")}
 
 
+def test_edge_resolution_steps(spark, tmp_path):
+    guid = "7d6e996c-4c27-5c10-3590-4e2653a6dd77"
+    symbols = [("1", "main", "f", "M", "N.C.M(int)", "p", 1), ("2", "main", "f", "K", "N.C.K()", "p", 1), ("9", "dev", "g", "Z", "N.Z", None, 1), ("8", "dev", "g", "Y", "N.Y(int)", None, 1), ("1", "main", "f", "M", "N.Old", "q", 0)]
+    chunks = [("e1", "main", "f", "1", "n.c.k()"), ("e2", "dev", "g", "9", "N.Z"), ("e3", "dev", "g", None, "N.C.M"), ("e4", "dev", "g", "9", "N.Y"), ("e5", "main", "f", "1", "Other.K"), ("e6", "main", "f", None, "Nope"), ("e7", "dev", "g", None, "Nope"), ("e8", "main", "f", "1", guid)]
+    at = lambda x, c: x.withColumn("repo_id", F.lit("r")).write.parquet(f"{tmp_path}/{c}.parquet")
+    at(spark.createDataFrame(symbols, "id string, branch_name string, file_path string, name string, qualified_name string, parent_symbol_id string, indexed_at int"), "symbols")
+    at(spark.createDataFrame(chunks, "id string, branch_name string, file_path string, symbol_id string, symbol_name string").withColumn("created_at", F.lit(1)), "code_chunks")
+    got = {r["edge_id"]: tuple(r)[1:] for r in queries.QUERIES["edge_resolution_steps"](spark, str(tmp_path)).collect()}
+    assert got == {"e1": ("1", "2", "batch exact"), "e2": ("9", "9", "stored exact"), "e3": (None, "1", "batch base"), "e4": ("9", "8", "stored base"), "e5": ("1", "2", "sibling"), "e6": ("1", "Nope", "unresolved"), "e8": ("1", guid, "id")}
+
+
 def test_jobs_and_upserts(spark):
     now = F.lit("2025-01-01 00:00:00").cast("timestamp")
     t = spark.createDataFrame([("a",), ("b",)], "target_id string")
