@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut_counted
 
-#: Items of a block, fillings tried around one item, nodes of a block's search, fill under which a container is packed again.
-BLOCK, BRANCHES, NODES, FULL = 512, 4, 3_000, 0.98
+#: Items of a block, fillings tried around one item, steps of finding them, nodes of a block's search, fill under which a container is packed again.
+BLOCK, BRANCHES, STEPS, NODES, FULL = 512, 4, 200, 3_000, 0.98
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -44,17 +44,17 @@ def fillings(room: int, sizes: list[int], most: int) -> list[tuple[int, ...]]:
     """Up to `most` sets of indices into sizes (descending) that fit the room, fullest first, none dominated by another found.
 
     One filling dominates another if its items are as many and none smaller; only fillings to which no item
-    left can be added are taken.
+    left can be added are taken. After STEPS steps the set at hand is filled up and no other is begun.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    budget = 200
+    budget = STEPS
 
     def add(start: int, left: int, chosen: tuple[int, ...]) -> None:
         nonlocal budget
         grew = False
         last = None
         i = bisect.bisect_left(sizes, -left, lo=start, key=lambda s: -s)  # the first that fits
-        while i < len(sizes) and budget > 0:
+        while i < len(sizes) and (budget > 0 or not grew):
             if sizes[i] != last:
                 last = sizes[i]
                 budget -= 1
@@ -64,6 +64,13 @@ def fillings(room: int, sizes: list[int], most: int) -> list[tuple[int, ...]]:
                     return
             i += 1
         if not grew:
+            out = len(sizes) - 1  # the smallest item left out
+            for c in reversed(chosen):
+                if c != out:
+                    break
+                out -= 1
+            if out >= 0 and sizes[out] <= left:
+                return
             found.append((left, chosen))
             found.sort()
             del found[4 * most :]

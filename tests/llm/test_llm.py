@@ -268,6 +268,18 @@ def test_completion_beats_or_meets_best_fit():
     assert len(packing.complete([6, 5, 4, 3, 3, 3], 12)) == 2 and packing.complete([], 10) == []
 
 
+def test_fillings_leave_no_room_for_an_item():
+    r = random.Random(8)
+    cases = [(9, [5, 3]), (400, [1] * 450), (10_007, sorted((r.randrange(20, 60) for _ in range(500)), reverse=True))]
+    cases += [(100, sorted((r.randrange(1, 60) for _ in range(30)), reverse=True)) for _ in range(20)]
+    for room, sizes in cases:
+        found = packing.fillings(room, sizes, 4)
+        assert found
+        for f in found:
+            left = room - sum(sizes[i] for i in f)
+            assert left >= 0 and len(set(f)) == len(f) and all(sizes[i] > left for i in range(len(sizes)) if i not in f)
+
+
 def test_pack(spark):
     r = random.Random(6)
     sizes = {i: r.choice([1, 7, 33, 90, 250]) for i in range(300)}
