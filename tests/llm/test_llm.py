@@ -316,25 +316,64 @@ def test_mix(spark):
 # -- 10: abuse -----------------------------------------------------------------------------------------------
 
 
+FINE_LINES = ["the cache keeps one row per branch", "we rename the parser before the merge", "indexing took long on the old disk", "this stupid flaky test failed again", "callers get the other node instead"]
+INSULTS = ["moron", "idiot", "imbecile", "asshole"]
+
+
+def _abuse_docs(n, templates, names, every, seed):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        lines = [r.choice(FINE_LINES) for _ in range(8)]
+        if i % every == 0:
+            lines[r.randrange(8)] = r.choice(templates).format(r.choice(names))
+        out.append((". ".join(lines), float(i % every == 0)))
+    return out
+
+
 def test_abuse_held_out(spark):
-    r = random.Random(8)
-    fine = ["the cache keeps one row per branch", "we rename the parser before the merge", "indexing took long on the old disk", "this stupid flaky test failed again", "callers get the other node instead"]
-    insult = ["you are a {} and everybody knows it", "get lost {} nobody asked you", "only a {} would write code like that", "what a {} you are"]
-    names = ["moron", "idiot", "imbecile", "asshole"]
-
-    def doc(bad):
-        s = [r.choice(fine) for _ in range(8)]
-        if bad:
-            s[r.randrange(8)] = r.choice(insult).format(r.choice(names))
-        return ". ".join(s)
-
-    train = [(doc(i % 3 == 0), float(i % 3 == 0)) for i in range(120)]
-    m = abuse.fit([t for t, _ in train], [v for _, v in train])
-    test = [(doc(i % 2 == 0), i % 2 == 0) for i in range(60)]
-    assert np.mean([(m.score(t) >= 0.5) == y for t, y in test]) >= 0.9
-    assert m.score("get lost you morrron nobody asked you") > m.score(fine[0]) and m.score(None) == m.score("  ") == 0
-    docs = spark.createDataFrame([(i, "s-1", t) for i, (t, _) in enumerate(train)] + [(900, None, None), (None, "x", "y")], "doc_id long, source string, text string")
-    labels = spark.createDataFrame([(i, int(v), "r1") for i, (_, v) in enumerate(train)] + [(None, 1, "r"), (1, None, "r")], "doc_id long, label int, rater string")
-    assert abuse.scores(docs, labels).count() == docs.count() and abuse.found(docs, labels).count() >= 30
+    """Neither the templates nor the spellings of the test are among those that were fitted on."""
+    train = _abuse_docs(150, ["you are a {} and everybody knows it", "get lost {} nobody asked you", "listen you {} just leave"], INSULTS, 3, 8)
+    m, held = abuse.fit([t for t, _ in train], [v for _, v in train])
+    y = np.array([v for _, v in train]) > 0.5
+    assert held[y].min() > held[~y].max()
+    test = _abuse_docs(80, ["only a {} would write that", "what a {} you must be", "the author is a {}"], ["morron", "1diot", "i d i o t", "imbeciles", "assholle"], 2, 9)
+    got, bad = m.scores([t for t, _ in test]), np.array([v for _, v in test]) > 0.5
+    assert got[bad].min() > 10 * got[~bad].max()
+    assert m.scores([None, "  ", ""]).tolist() == [0, 0, 0]
+    long = ". ".join(FINE_LINES * 3000)
+    a, b = m.scores([long, long + ". get lost you morrron nobody asked you"])
+    assert a < 0.1 and b > 0.9
+
+
+def test_abuse_threshold():
+    """Of a collection with 3 % to be excluded, labelled at 20 % with some errors: the threshold lies in the gap."""
+    r = np.random.default_rng(1)
+    counts = np.zeros(101, dtype=int)
+    counts[[1, 10, 30]], counts[[85, 95]] = (4000, 4000, 1700), (100, 200)
+    held, votes = np.concatenate([r.choice([0.85, 0.95], 100), r.choice([0.01, 0.1, 0.3], 400)]), np.repeat([1.0, 0.0], [100, 400])
+    votes[[3, 200, 300]] = 1 - votes[[3, 200, 300]]
+    assert 0.31 <= abuse.threshold(held, votes, counts) <= 0.85
+    assert abuse.threshold(held, votes * 0, counts) == 1.0 and abuse.threshold(held, votes, counts * 0) == 1.0
+
+
+def test_abuse_tables(spark):
+    train = _abuse_docs(120, ["you are a {} and everybody knows it", "get lost {} nobody asked you"], INSULTS, 3, 8)
+    docs = spark.createDataFrame([(i, "s-1", t, "x") for i, (t, _) in enumerate(train)] + [(0, "s-1", train[0][0], "y"), (900, None, None, None), (None, "x", "y", None)], "doc_id long, source string, text string, score string")
+    labels = spark.createDataFrame([(i, int(v), "r1") for i, (_, v) in enumerate(train)] + [(0, 1, "r1"), (None, 1, "r"), (1, None, "r"), (2, 0, None)], "doc_id long, label int, rater string")
+    every = {(r["doc_id"], r["score"] is not None) for r in abuse.scores(docs, labels).collect()}
+    assert len(every) == 122 and all(has for _, has in every)
+    found = [r["doc_id"] for r in abuse.found(docs, labels).collect()]
+    assert len(found) == len(set(found)) and len(set(found) & set(range(0, 120, 3))) >= 36 and len(set(found) - set(range(0, 120, 3))) <= 4
     assert {x["source"] for x in abuse.rates(docs, labels).collect()} == {"s_1", None}
     assert abuse.found(docs.limit(0), labels.limit(0)).count() == 0
+    none = abuse.scores(docs, labels.where("label = 0"))
+    assert none.where("score is not null").count() == 1 and abuse.found(docs, labels.where("label = 0")).count() == 0
+
+
+def test_abuse_words():
+    """Spaced, leet and stretched spellings fold to one word, identifiers are taken apart, nothing inside code is left out."""
+    words = lambda t: [w for w in map(abuse.folded, abuse.tokens(t)) if w]
+    assert words("n a k e d") == ["naked"] and words("1d10t") == ["idiot"] and words("sooooo a$$hole") == ["soo", "asshole"]
+    assert words("`StupidIdiot` idiot.Go ```you fool```") == ["stupid", "idiot", "idiot", "go", "you", "fool"]
+    assert words("see https://x.org/a?b 42") == ["see", "codeword", "0"]
