@@ -46,6 +46,10 @@ def p3_written(spark: SparkSession, d: str) -> DataFrame:
     return source_filter.written(table(spark, d, "files"), table(spark, d, "file_heads"))
 
 
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return source_filter.reasons(table(spark, d, "files"), table(spark, d, "file_heads"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return doc_pairs.described(table(spark, d, "code_chunks"))
 
@@ -128,7 +132,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_ranking, p3_found, p3_written, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_neighbours, p7_found, p7_groups, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
+    for f in (p2_found, p2_ranking, p3_found, p3_written, p3_reasons, p4_found, p4_pairs, p5_found, p5_pieces, p6_found, p6_neighbours, p7_found, p7_groups, p8_containers, p8_fill, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)
 }
 
 

@@ -65,7 +65,11 @@ HEADS = {
     "about": ("src/Writer.cs", "CSharp", 2000, 60, '// Writes the banner "do not edit" into the files.\nclass A\n{\n}\n'),
     "scratch": ("src/B.cs", "CSharp", 2000, 60, "// Unlike libx, this was written from scratch; nothing is copied from upstream.\nclass B\n{\n}\n"),
     "own": ("src/C.cs", "CSharp", 2000, 60, "// Copyright (c) 2024 the core team of this repository. All rights reserved.\nclass C\n{\n}\n"),
-    "copied": ("src/D.cs", "CSharp", 2000, 60, "// Copied unchanged from libx 1.2, see upstream for issues.\nclass D\n{\n}\n"),
+    "copied": ("src/D.cs", "CSharp", 2000, 60, "// Snapshot of libx 1.2 as shipped; bugs go to its own tracker.\nclass D\n{\n}\n"),
+    "copied2": ("src/d.py", "Python", 2000, 60, "#!/usr/bin/env python\n# Snapshot of other-lib 0.9.1 as shipped; bugs go to its own tracker.\nclass D:\n    pass\n"),
+    "talks": ("src/Talk.cs", "CSharp", 2000, 60, "// Reports bugs of a snapshot to the tracker that shipped it.\nclass T\n{\n}\n"),
+    **{f"v{i}": (f"third_party/lib{i}/v.cs", "CSharp", 2000, 60, f"// Snapshot of lib{i} {i}.0 as shipped; bugs go to its own tracker.\nclass V\n{{\n}}\n") for i in range(5)},
+    "prose": ("src/p.md", "Markdown", 90000, 1, "word other " * 300),
     "vendor": ("a/node_modules/x/y.ts", None, None, None, None),
     "notvendor": ("src/vendor_portal/y.ts", "TypeScript", 900, 30, "export class A {\n    run() {\n    }\n}\n"),
     "lock": ("package-lock.json", "JSON", 900, 30, "{\n}"),
@@ -86,9 +90,20 @@ def test_source_filter(spark):
     f = spark.createDataFrame([(k, v[0], v[1], v[2], v[3], "x") for k, v in HEADS.items()] * 2, "id string, file_path string, language string, size_bytes long, line_count int, head string")
     h = spark.createDataFrame([(k, v[4]) for k, v in HEADS.items() if v[4] is not None] * 2, "file_id string, head string")
     got = sorted(r[0] for r in source_filter.not_written(f, h).collect())
-    assert got == sorted(["gen", "copied", "vendor", "lock", "min", "minhead", "bytes", "rows", "blob"])
+    assert got == sorted(["gen", "copied", "copied2", *(f"v{i}" for i in range(5)), "vendor", "lock", "min", "minhead", "bytes", "rows", "blob"])
     assert source_filter.written(f, h).count() == len(HEADS) - len(got)
-    assert source_filter.not_written(f.limit(0), h).count() == 0
+    assert source_filter.not_written(f.limit(0), h).count() == 0 and source_filter.not_written(f, h.limit(0)).count() == 9
+    why = {r["reason"]: r["files"] for r in source_filter.reasons(f, h).collect()}
+    assert why == {None: len(HEADS) - len(got), "data": 3, "minified": 2, "lock file": 1, "third party path": 6, "generated banner": 1, "shared banner": 2}
+
+
+def test_layout_alone_and_whole_heads(spark):
+    """Statistics decide before any name does, and a banner at the end of a long opening comment counts."""
+    long = "".join(f"// line {i} of a long notice\n" for i in range(300)) + "// Code generated by some tool. DO NOT EDIT.\npackage x\n"
+    rows = [("vendor/a.js", "!function(){" + "var a=b(c,1);" * 30, "minified"), ("vendor/b.go", "var t = []byte{\n" + "  0x1f, 0x2e, 0x3d,\n" * 10, "data"), ("src/c.go", long, "generated banner")]
+    f = spark.createDataFrame([(str(i), p, None, None, None) for i, (p, _, _) in enumerate(rows)], "id string, file_path string, language string, size_bytes long, line_count int")
+    h = spark.createDataFrame([(str(i), t) for i, (_, t, _) in enumerate(rows)], "file_id string, head string")
+    assert {r["file_id"]: r["reason"] for r in source_filter.judge(f, h).collect()} == {str(i): r for i, (_, _, r) in enumerate(rows)}
 
 
 # -- 4: documentation ----------------------------------------------------------------------------------------
