@@ -23,20 +23,26 @@ from pyspark.sql import functions as F
 
 KINDS = ("method", "function")
 
-_STRING = r'"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)\'|`(?:[^`\\]|\\.)*+`'
+# Strings, the special ones first: verbatim ("" is a quote), raw between three quotes, raw after r and r#, plain, one character, templates with code inside.
+_DEFINE = r"(?(DEFINE)(?P<template>`(?:[^`\\$]++|\\.|\$(?!\{)|\$(?&inner))*+`)(?P<inner>\{(?:[^`{}]++|(?&template)|(?&inner))*+\}))"
+_STRING = (
+    r'(?<=@|@\$)"(?:[^"]|"")*+"|"""(?s:.*?)"""|(?<=\bb?r)"[^"]*+"|(?<=\bb?r\#)"(?s:.*?)"\#|(?<=\bb?r\#\#)"(?s:.*?)"\#\#'
+    r'|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)\'|(?&template)'
+)
 _COMMENT = r"//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
 _ABOVE = r"(?P<doc>(?:^[ \t]*+(?://[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/[ \t]*+\r?)\n)++)?(?P<attributes>(?:^[ \t]*+(?:\[[^\n]*\]|@\w[^\n]*|\#\[[^\n]*\])[ \t]*+\r?\n)*+)"
 _BODY = rf"(?P<body>\{{(?:{_STRING}|{_COMMENT}|[^{{}}\"'`/]++|[\"'`/]|(?&body))*+\}})"
 _ARGUMENTS = rf"(?P<arguments>\((?:[^()\"'`]++|{_STRING}|[\"'`]|(?&arguments))*+\))"
 #: Matched from the first comment or attribute above a known declaration; a body cut off at the chunk's end leaves its group unset.
-_BRACES = regex.compile(_ABOVE + rf"(?P<signature>^[^\n(]*+(?:\([^()\n]*\)[^\n(]*+)??{_ARGUMENTS}[^;{{}}\n]*+)(?:\s*+{_BODY})?", regex.M)
+_BRACES = regex.compile(_DEFINE + _ABOVE + rf"(?P<signature>^[^\n(]*+(?:\([^()\n]*\)[^\n(]*+)??{_ARGUMENTS}[^;{{}}\n]*+)(?:\s*+{_BODY})?", regex.M)
 _PYTHON = regex.compile(
-    rf"(?P<doc>(?:^[ \t]*+\#[^\n]*+\n)++)?(?P<attributes>(?:^[ \t]*+@\w[^\n]*+\n)*+)(?P<signature>^(?P<indent>[ \t]*+)(?:async[ \t]+)?def[ \t]+\w+[ \t]*+{_ARGUMENTS}[^\n:]*+:[^\n]*+)"
+    _DEFINE + rf"(?P<doc>(?:^[ \t]*+\#[^\n]*+\n)++)?(?P<attributes>(?:^[ \t]*+@\w[^\n]*+\n)*+)(?P<signature>^(?P<indent>[ \t]*+)(?:async[ \t]+)?def[ \t]+\w+[ \t]*+{_ARGUMENTS}[^\n:]*+:[^\n]*+)"
     r"(?:\n\s*+[rRuU]?(?P<quote>\"\"\"|''')(?P<docstring>(?s:.*?))(?P=quote))?(?P<body>(?:\n(?:[ \t]*+$|(?P=indent)[ \t]+[^\n]*+))*+)",
     regex.M,
 )
 _LAST_NAME = regex.compile(r"([\w$]+)\W*$")
 _CALLED = regex.compile(r"([\w$]+)\s*(?:<[^>()]*>)?\s*\(")
+_OPENED = regex.compile(r"[ \t]*(?:<[^()\n]*>)?\(")
 _FUNCTION = regex.compile(r"^\s*(?:func\s*\([^)]*\)\s*)?(?!.*\b(?:class|interface|struct|enum|record)\b)(?:[\w<>\[\],.?:&*\s]+\s)?[\w$]+\s*(?:<[^>()]*>)?\s*\(")
 _WORD = regex.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _SPLIT = regex.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\dA-Za-z_]+")
@@ -126,7 +132,7 @@ def _declared(text: str, signature: str | None, name: str) -> int:
     at = text.find(name)
     while at >= 0:
         end = at + len(name)
-        if regex.match(r"[ \t]*(?:<[^>\n]*>)?\(", text[end : end + 80]) and not (at and (text[at - 1] in ".:>_$" or text[at - 1].isalnum())):
+        if _OPENED.match(text, end) and not (at and (text[at - 1] in ".:>_$" or text[at - 1].isalnum())):
             start = text.rfind("\n", 0, at) + 1
             line = text[start : (text.find("\n", at) + 1 or len(text) + 1) - 1].strip()
             if not line.endswith((";", ",")) and "=" not in text[start:at] and not regex.match(r"(?:return|await|if|for|while|//|\*|#|/\*)", line):
@@ -186,17 +192,15 @@ def is_python(language: str | None, signature: str | None) -> bool:
     return (language or "").lower() == "python" or bool(signature and regex.match(r"\s*(?:async\s+)?def\s", signature))
 
 
-def _pairs(batches: Iterator[pd.DataFrame], whole: bool = True) -> Iterator[pd.DataFrame]:
-    """whole: take the code as well where the documentation column already describes it."""
+def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for r in b.itertuples(index=False):
             if not is_function(r.kind, r.signature):
                 continue
             name = function_name(r.signature, r.symbol_name) or ""
-            python = is_python(r.language, r.signature)
+            found = capture(r.content, r.signature, r.symbol_name, is_python(r.language, r.signature))
             said, source = describes(r.documentation, name), "column"
-            found = capture(r.content, r.signature, r.symbol_name, python) if whole or said is None else None
             if said is None and found:
                 said, source = describes(found[1], name), "content"
             if said is not None:
@@ -213,14 +217,6 @@ def pairs(chunks: DataFrame) -> DataFrame:
     return said.groupBy("chunk_id").agg(F.min(F.struct("description", "signature", "code", "source")).alias("p")).select("chunk_id", "p.signature", "p.code", "p.description", "p.source")
 
 
-def _ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in _pairs(batches, whole=False):
-        yield b[["chunk_id"]]
-
-
 def described(chunks: DataFrame) -> DataFrame:
-    """chunk_id of each function or method that has a description: pairs without their texts."""
-    kind = F.lower(F.trim(F.coalesce("symbol_kind", F.lit("unknown"))))
-    rows = chunks.where(F.col("id").isNotNull() & (F.trim("id") != "") & kind.isin(*KINDS, "unknown", ""))
-    rows = rows.select(F.col("id").alias("chunk_id"), F.col("symbol_kind").alias("kind"), "language", "symbol_name", "signature", "content", "documentation")
-    return rows.mapInPandas(_ids, "chunk_id string").distinct()
+    """chunk_id of each pair."""
+    return pairs(chunks).select("chunk_id")

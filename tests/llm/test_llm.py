@@ -140,6 +140,25 @@ def test_capture():
     assert doc_pairs.capture(long, "void go()", "go", False)[0].endswith("}")
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        'var p = @"C:\\"; var q = @"a ""}"" b";', 'var p = $@"{x}\\";', 'var s = """\n  } " }\n""";', 'let s = r"\\}"; let t = r#"a " } "#;', "let s = `a ${f({b: `}`})} }`;", "var c = '}'; // }\n /* } */",
+    ],
+)
+def test_capture_protects_strings(body):
+    """Braces in strings of any kind end no body."""
+    text = "/// Says what it does to the ledger.\npublic void Run(int a)\n{\n    " + body + "\n    end();\n}\n// after\n"
+    code, doc = doc_pairs.capture(text, "public void Run(int a)", "Run", False)
+    assert code.endswith("end();\n}") and "ledger" in doc
+
+
+def test_capture_long_generics():
+    kinds = ", ".join(f"Argument{i}" for i in range(40))
+    code, doc = doc_pairs.capture(f"// Folds all its arguments.\npublic void Fold<{kinds}>(int a) {{ }}\n", None, "Fold", False)
+    assert code.endswith("{ }") and "Folds" in doc
+
+
 def test_pairs(spark):
     rows = [("1", "Method", "CSharp", "A.Go", "void Go()", "/// Walks the tree upwards.\nvoid Go() { }", " "), ("2", "Class", "CSharp", "A", "class A", "/// Walks the tree.\nclass A { }", "Walks the tree."), ("3", "Unknown", None, "Go", "func Go()", "func Go() { }", "Walks the tree."), (None, "Method", "Go", "Go", None, None, "x y z"), ("4", "Function", "Go", None, None, None, None)]
     df = spark.createDataFrame(rows * 2, "id string, symbol_kind string, language string, symbol_name string, signature string, content string, documentation string")
