@@ -184,7 +184,7 @@ def test_pieces(spark, size):
     texts = {"c": _class(9, 10), "crlf": _class(7, 8, True), "big": _class(2, 60), "line": "x" * 2500, "flat": "\n".join(f"a{i}" for i in range(600)), "short": "a\nb"}
     rows = [(k, "Class", "class C", v, 11, "x") for k, v in texts.items()] * 2 + [(None, "Class", "", "y" * 5000, 1, ""), ("null", "Class", "", None, 1, "")]
     df = spark.createDataFrame(rows, SPLIT)
-    got = splitting.pieces(df, 1000, 3, size=size, halo=120).toPandas()
+    got = splitting.pieces(df, 1000, 3, size=size).toPandas()
     assert set(got.chunk_id) == set(texts) - {"short"} and got.content.str.len().max() <= 1000
     for k, g in got.groupby("chunk_id"):
         g = g.sort_values("piece")
@@ -197,6 +197,27 @@ def test_pieces(spark, size):
     assert all(x[:o].count("\n") == 3 for x, o in list(zip(c.content, c.overlap_chars))[1:])
 
 
+def test_file_pieces(spark, tmp_path):
+    """A file over many byte ranges gives the pieces that its text as one cell gives, and comes back byte by byte."""
+    text = _class(60, 12) + "\n" + "z" * 5000 + "\nend é\n"
+    raw = text.encode()
+    (tmp_path / "big.cs").write_bytes(raw)
+    (tmp_path / "small.cs").write_bytes(b"a\nb\n")
+    paths = spark.createDataFrame([(f"{tmp_path}/big.cs", len(raw)), (f"{tmp_path}/small.cs", 4), (f"{tmp_path}/big.cs", len(raw)), (None, 5000)], "path string, length long")
+    got = splitting.file_pieces(paths, 1000, 3, size=512).toPandas().sort_values("piece")
+    assert b"".join(bytes(c)[o:] for c, o in zip(got.content, got.overlap_chars)) == raw and set(got.path) == {f"{tmp_path}/big.cs"}
+    cell = splitting.pieces(spark.createDataFrame([("c", "Class", "class C", text, 1, "")], SPLIT), 1000, 3, size=701).toPandas().sort_values("piece")
+    same = len(cell) - 3  # the last ones hold the letter of two bytes or follow the long line
+    assert got.start_line.tolist()[:same] == cell.start_line.tolist()[:same] and len(got) == len(cell)
+
+
+def test_long_items_are_cut_in_linear_time(spark):
+    """40,000 lines in one item: the stitching windows stream over them."""
+    text = _class(4000, 6)
+    got = splitting.pieces(spark.createDataFrame([("c", "Class", "class C", text, 1, "")], SPLIT), 2000, 3).toPandas().sort_values("piece")
+    assert "".join(c[o:] for c, o in zip(got.content, got.overlap_chars)) == text
+
+
 def test_member_cuts(spark):
     text = _class(5, 10)
     df = spark.createDataFrame([("c", "Class", "class C", text, 11, ""), ("big", "Class", "class C", _class(2, 60), 1, ""), ("fn", "Method", "int M()", text, 1, "")] * 2, SPLIT)
