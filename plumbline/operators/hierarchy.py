@@ -1,8 +1,9 @@
 """Parent-child rows to full hierarchies.
 
 Level-wise frontier joins go down from the roots: each level joins the last one's nodes with the edges
-that leave them, and so extends root, depth, path and ancestors. Nodes no level reaches hang on a cycle;
-there, pointer doubling over the unreached rest finds the cycle each of them runs into.
+that leave them, and so extends root, depth, path and ancestors. Edges that have been followed are dropped each
+time half of them are, so that the levels of a few long chains do not read the whole table. Nodes no level
+reaches hang on a cycle; there, pointer doubling over the unreached rest finds the cycle each of them runs into.
 
 Defined results:
 - rows whose id is null or blank are left out; ids compare without regard to case and outer blanks;
@@ -18,7 +19,7 @@ Defined results:
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..runtime import cut, cut_counted, new_path, partitions
@@ -26,6 +27,8 @@ from ..runtime import cut, cut_counted, new_path, partitions
 #: A parent counts as hot, and its children are spread over salts, beyond this many children (and a quarter of a partition's even share).
 HOT_CHILDREN = 50_000
 SALTS = 16
+#: A frontier of at most this many nodes is followed over several levels per write; only time depends on it.
+SMALL, LEVELS = 20_000, 6
 
 
 def _key(c: str) -> Column:
@@ -47,59 +50,87 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
     spark = df.sparkSession
     parts = partitions(spark)
     nodes = latest_nodes(df, id_col, parent_col, name_col, order_col)
-    # Parents that are null are kept out of the join: they would all fall to one task.
-    nodes = cut(nodes if paths else nodes.select("key", "id", "parent"), "nodes")
-    linked = nodes.where("parent is not null").join(nodes.select(F.col("key").alias("parent"), F.lit(True).alias("there")), "parent", "left")
-    base, total = cut_counted(linked.withColumn("parent", F.when(F.col("there"), F.col("parent"))).drop("there").unionByName(nodes.where("parent is null")), "base")
-
+    nodes, total = cut_counted(nodes if paths else nodes.select("key", "id", "parent"), "nodes")
+    # Children are counted per parent before anything is joined on it: a parent of a third of all rows is one row here.
+    parents = nodes.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).join(nodes.select(F.col("key").alias("parent"), F.lit(True).alias("there")), "parent", "left")
+    parents = cut(parents, "parents")
     limit = max(HOT_CHILDREN, total // (4 * parts))  # at most 4 * parts parents can be hot
-    hot = [r[0] for r in base.where("parent is not null").groupBy("parent").count().where(F.col("count") > limit).select("parent").collect()] if total > limit else []
+    big = parents.where(F.col("n") > limit).select("parent", "there").collect() if total > limit else []
+    hot = [r["parent"] for r in big if r["there"]]
+    gone = [r["parent"] for r in big if not r["there"]]
+    missing = parents.where((F.col("n") <= limit) & F.col("there").isNull()).select("parent", F.lit(True).alias("missing"))
+    linked = nodes.where("parent is not null").where(~F.col("parent").isin(hot + gone)) if big else nodes.where("parent is not null")
+    base = linked.join(missing, "parent", "left").withColumn("parent", F.when(F.col("missing").isNull(), F.col("parent"))).drop("missing").unionByName(nodes.where("parent is null"))
+    if big:
+        base = base.unionByName(nodes.where(F.col("parent").isin(hot + gone)).withColumn("parent", F.when(F.col("parent").isin(hot), F.col("parent"))))
+    base = cut(base, "base")
+
     # One column links edges and frontier, so that the edges' partitioning and order serve every level's join.
     salted = lambda c, salt: F.when(F.col(c).isin(hot), F.concat_ws("#", c, salt)).otherwise(F.col(c)) if hot else F.col(c)
     spread = lambda c: F.explode(F.when(F.col(c).isin(hot), F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda s: F.concat_ws("#", F.col(c), s.cast("string")))).otherwise(F.array(c))) if hot else F.col(c)
 
     extra: list[str] = (["path"] if paths else []) + (["up"] if ancestors else [])
 
-    def links(df: DataFrame) -> DataFrame:
-        e = df.where("parent is not null").select(salted("parent", F.pmod(F.hash("key"), F.lit(SALTS)).cast("string")).alias("link"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else []))
-        e = e.repartition(parts, "link").sortWithinPartitions("link").persist(StorageLevel.MEMORY_AND_DISK)
+    def kept(edges: DataFrame, n: int) -> DataFrame:
+        """n edges by link, in as many partitions as their share of the table is worth; a lost one is read again from the table."""
+        e = edges.repartition(max(1, -(-parts * n // max(total, 1))), "link").sortWithinPartitions("link").persist(StorageLevel.MEMORY_AND_DISK)
         e.count()
         return e
 
-    def descend(start: DataFrame, nodes: DataFrame, what: str) -> DataFrame:
-        """Start as level 0, and those of nodes that lie on the levels below it."""
-        edges, into = links(nodes), new_path(spark, what)
-        frontier, n = cut_counted(start, path=f"{into}/level=0")
-        schema, level = frontier.schema, 0
-        while n:
-            level += 1
-            ends = frontier.select(spread("key").alias("link"), "root", *extra, *([F.col("id").alias("parent_id")] if ancestors else []))
-            step = [F.col("child").alias("key"), F.col("child_id").alias("id"), F.col("root"), F.lit(level).alias("depth")]
+    def descend(start: DataFrame, nodes: DataFrame, what: str) -> tuple[DataFrame, DataFrame | None]:
+        """Start as level 0, and those of nodes that lie on the levels below it; and the keys of those that do not, or None."""
+        e = nodes.where("parent is not null").select(salted("parent", F.pmod(F.hash("key"), F.lit(SALTS)).cast("string")).alias("link"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else []))
+        written, have = cut_counted(e, "edges")
+        edges, left, into = kept(written, have), have, new_path(spark, what)
+        frontier, n = cut_counted(start, path=f"{into}/block=0")
+        schema, level, used = frontier.schema, 0, [f"{into}/block=0"]
+        # Edges not followed yet: the last level's own are still to come.
+        open_ = lambda: edges.join(spark.read.schema(schema).parquet(*used).where(F.col("depth") < level).select(spread("key").alias("link")), "link", "left_anti")
+
+        def below(nodes: DataFrame, depth: int) -> DataFrame:
+            ends = nodes.select(spread("key").alias("link"), "root", *extra, *([F.col("id").alias("parent_id")] if ancestors else []))
+            step = [F.col("child").alias("key"), F.col("child_id").alias("id"), F.col("root"), F.lit(depth).alias("depth")]
             step += [F.concat(F.col("path"), F.lit(separator), F.coalesce("name", "child_id")).alias("path")] if paths else []
             step += [F.concat(F.col("up"), F.array("parent_id")).alias("up")] if ancestors else []
-            frontier, n = cut_counted(ends.join(edges, "link").select(*step), path=f"{into}/level={level}")
+            return ends.join(edges, "link").select(*step)
+
+        while n and left:
+            many, block = LEVELS if n <= SMALL else 1, None
+            for _ in range(many):
+                level += 1
+                frontier = below(frontier, level)
+                block = frontier if block is None else block.unionByName(frontier)
+            at, seen = f"{into}/block={level}", Observation()
+            block.observe(seen, F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("depth") == level, 1)).alias("last")).write.parquet(at)
+            frontier, n = spark.read.schema(schema).parquet(at).where(F.col("depth") == level), seen.get["last"]
+            left -= seen.get["all"]
+            used.append(at)
+            if n and 0 < 2 * left <= have:
+                written, have = cut_counted(open_(), "edges")
+                edges.unpersist()
+                edges, used = kept(written, have), [at]
+        rest = cut(open_().select(F.col("child").alias("key")), "unreached") if left else None
         edges.unpersist()
-        return spark.read.schema(schema).parquet(into)
+        return spark.read.schema(schema).parquet(into), rest
 
     start = [F.col("key"), F.col("id"), F.col("id").alias("root"), F.lit(0).alias("depth")]
     start += [F.coalesce("name", "id").alias("path")] if paths else []
     start += [F.array().cast("array<string>").alias("up")] if ancestors else []
-    reached = descend(base.where("parent is null").select(*start), base, "levels")
+    reached, rest = descend(base.where("parent is null").select(*start), base, "levels")
 
-    lost = base.join(reached.select("key"), "key", "left_anti").select("key", "id", "parent")
-    cyclic = _cycles(lost)
+    cyclic = _cycles(base.join(rest, "key", "left_semi").select("key", "id", "parent") if rest is not None else base.select("key", "id", "parent").limit(0))
     no_path = [F.lit(None).cast("string").alias("path")] if paths else []
     if ancestors:
         cyclic = cut(cyclic.withColumn("name", F.lit(None).cast("string")), "cyclic")
         rings = _rings(cyclic.where("depth = -1")).select("key", "id", "root", F.lit(0).alias("depth"), *no_path, "up")
-        below = descend(rings, cyclic.where("depth = -2"), "below")
-        on = F.col("level") == 0
-        cyclic = below.select("id", "root", F.when(on, -1).otherwise(-2).alias("depth"), *no_path, F.when(~on, F.col("up")).alias("up"), F.when(on, F.col("up")).alias("cycle"))
+        under, _ = descend(rings, cyclic.where("depth = -2"), "below")
+        on = F.col("depth") == 0
+        cyclic = under.select("id", "root", F.when(on, -1).otherwise(-2).alias("depth"), *no_path, F.when(~on, F.col("up")).alias("up"), F.when(on, F.col("up")).alias("cycle"))
         reached = reached.withColumn("cycle", F.lit(None).cast("array<string>"))
     else:
         cyclic = cyclic.select("id", "root", "depth", *no_path)
     names = {"path": "path", "up": "ancestors", "cycle": "cycle"}
-    both = reached.drop("key", "level").unionByName(cyclic)
+    both = reached.drop("key", "block").unionByName(cyclic)
     return both.select(F.col("id").alias("node_id"), F.col("root").alias("root_id"), "depth", *[F.col(c).alias(names[c]) for c in [*extra, *(["cycle"] if ancestors else [])]])
 
 
