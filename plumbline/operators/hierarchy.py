@@ -28,7 +28,7 @@ from ..runtime import cut, cut_counted, new_path, partitions
 HOT_CHILDREN = 50_000
 SALTS = 16
 #: A frontier of at most this many nodes is followed over several levels per write; only time depends on it.
-SMALL, LEVELS = 20_000, 6
+SMALL, LEVELS = 20_000, 4
 
 
 def _key(c: str) -> Column:
@@ -82,33 +82,42 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
         e = nodes.where("parent is not null").select(salted("parent", F.pmod(F.hash("key"), F.lit(SALTS)).cast("string")).alias("link"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else []))
         written, have = cut_counted(e, "edges")
         edges, left, into = kept(written, have), have, new_path(spark, what)
-        frontier, n = cut_counted(start, path=f"{into}/block=0")
-        schema, level, used = frontier.schema, 0, [f"{into}/block=0"]
-        # Edges not followed yet: the last level's own are still to come.
-        open_ = lambda: edges.join(spark.read.schema(schema).parquet(*used).where(F.col("depth") < level).select(spread("key").alias("link")), "link", "left_anti")
-
-        def below(nodes: DataFrame, depth: int) -> DataFrame:
-            ends = nodes.select(spread("key").alias("link"), "root", *extra, *([F.col("id").alias("parent_id")] if ancestors else []))
-            step = [F.col("child").alias("key"), F.col("child_id").alias("id"), F.col("root"), F.lit(depth).alias("depth")]
+        first = start.withColumn("last", F.lit(True))
+        frontier, n = cut_counted(first, path=f"{into}/block=0")
+        schema, level, followed, at = frontier.schema, 0, [], f"{into}/block=0"
+
+        def open_() -> DataFrame:
+            """Edges not followed yet: those of the last level are still to come."""
+            read = spark.read.schema(schema)
+            ends = read.parquet(at).where("not last")
+            ends = read.parquet(*followed).unionByName(ends) if followed else ends
+            return edges.join(ends.select(spread("key").alias("link")), "link", "left_anti")
+
+        def below(nodes: DataFrame) -> DataFrame:
+            # No literal differs from level to level, so that all share their generated code.
+            ends = nodes.select(spread("key").alias("link"), "root", "depth", *extra, *([F.col("id").alias("parent_id")] if ancestors else []))
+            step = [F.col("child").alias("key"), F.col("child_id").alias("id"), F.col("root"), (F.col("depth") + 1).alias("depth")]
             step += [F.concat(F.col("path"), F.lit(separator), F.coalesce("name", "child_id")).alias("path")] if paths else []
             step += [F.concat(F.col("up"), F.array("parent_id")).alias("up")] if ancestors else []
             return ends.join(edges, "link").select(*step)
 
         while n and left:
-            many, block = LEVELS if n <= SMALL else 1, None
-            for _ in range(many):
-                level += 1
-                frontier = below(frontier, level)
-                block = frontier if block is None else block.unionByName(frontier)
+            levels = [below(frontier)]
+            for _ in range(1, LEVELS if n <= SMALL else 1):
+                levels.append(below(levels[-1]))
+            block = levels[-1].withColumn("last", F.lit(True))
+            for x in levels[:-1]:
+                block = block.unionByName(x.withColumn("last", F.lit(False)))
+            level += len(levels)
+            followed.append(at)
             at, seen = f"{into}/block={level}", Observation()
-            block.observe(seen, F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("depth") == level, 1)).alias("last")).write.parquet(at)
-            frontier, n = spark.read.schema(schema).parquet(at).where(F.col("depth") == level), seen.get["last"]
+            block.observe(seen, F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("last"), 1)).alias("ends")).write.parquet(at)
+            frontier, n = spark.read.schema(schema).parquet(at).where("last"), seen.get["ends"]
             left -= seen.get["all"]
-            used.append(at)
             if n and 0 < 2 * left <= have:
                 written, have = cut_counted(open_(), "edges")
                 edges.unpersist()
-                edges, used = kept(written, have), [at]
+                edges, followed = kept(written, have), []
         rest = cut(open_().select(F.col("child").alias("key")), "unreached") if left else None
         edges.unpersist()
         return spark.read.schema(schema).parquet(into), rest
@@ -130,7 +139,7 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
     else:
         cyclic = cyclic.select("id", "root", "depth", *no_path)
     names = {"path": "path", "up": "ancestors", "cycle": "cycle"}
-    both = reached.drop("key", "block").unionByName(cyclic)
+    both = reached.drop("key", "block", "last").unionByName(cyclic)
     return both.select(F.col("id").alias("node_id"), F.col("root").alias("root_id"), "depth", *[F.col(c).alias(names[c]) for c in [*extra, *(["cycle"] if ancestors else [])]])
 
 
