@@ -22,13 +22,13 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..runtime import cut, cut_counted, new_path, partitions
+from ..runtime import cut, cut_counted, drop_path, new_path, partitions
 
 #: A parent counts as hot, and its children are spread over salts, beyond this many children (and a quarter of a partition's even share).
 HOT_CHILDREN = 50_000
 SALTS = 16
 #: A frontier of at most this many nodes is followed over several levels per write; only time depends on it.
-SMALL, LEVELS = 20_000, 4
+SMALL, LEVELS = 20_000, 2
 
 
 def _key(c: str) -> Column:
@@ -50,10 +50,11 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
     spark = df.sparkSession
     parts = partitions(spark)
     nodes = latest_nodes(df, id_col, parent_col, name_col, order_col)
-    nodes, total = cut_counted(nodes if paths else nodes.select("key", "id", "parent"), "nodes")
+    at_nodes, at_parents = new_path(spark, "nodes"), new_path(spark, "parents")
+    nodes, total = cut_counted(nodes if paths else nodes.select("key", "id", "parent"), path=at_nodes)
     # Children are counted per parent before anything is joined on it: a parent of a third of all rows is one row here.
     parents = nodes.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).join(nodes.select(F.col("key").alias("parent"), F.lit(True).alias("there")), "parent", "left")
-    parents = cut(parents, "parents")
+    parents, _ = cut_counted(parents, path=at_parents)
     limit = max(HOT_CHILDREN, total // (4 * parts))  # at most 4 * parts parents can be hot
     big = parents.where(F.col("n") > limit).select("parent", "there").collect() if total > limit else []
     hot = [r["parent"] for r in big if r["there"]]
@@ -64,6 +65,8 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
     if big:
         base = base.unionByName(nodes.where(F.col("parent").isin(hot + gone)).withColumn("parent", F.when(F.col("parent").isin(hot), F.col("parent"))))
     base = cut(base, "base")
+    drop_path(spark, at_nodes)  # base holds all that is still needed
+    drop_path(spark, at_parents)
 
     # One column links edges and frontier, so that the edges' partitioning and order serve every level's join.
     salted = lambda c, salt: F.when(F.col(c).isin(hot), F.concat_ws("#", c, salt)).otherwise(F.col(c)) if hot else F.col(c)
@@ -80,7 +83,8 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
     def descend(start: DataFrame, nodes: DataFrame, what: str) -> tuple[DataFrame, DataFrame | None]:
         """Start as level 0, and those of nodes that lie on the levels below it; and the keys of those that do not, or None."""
         e = nodes.where("parent is not null").select(salted("parent", F.pmod(F.hash("key"), F.lit(SALTS)).cast("string")).alias("link"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else []))
-        written, have = cut_counted(e, "edges")
+        table = new_path(spark, "edges")
+        written, have = cut_counted(e, path=table)
         edges, left, into = kept(written, have), have, new_path(spark, what)
         first = start.withColumn("last", F.lit(True))
         frontier, n = cut_counted(first, path=f"{into}/block=0")
@@ -115,8 +119,10 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
             frontier, n = spark.read.schema(schema).parquet(at).where("last"), seen.get["ends"]
             left -= seen.get["all"]
             if n and 0 < 2 * left <= have:
-                written, have = cut_counted(open_(), "edges")
+                former, table = table, new_path(spark, "edges")
+                written, have = cut_counted(open_(), path=table)
                 edges.unpersist()
+                drop_path(spark, former)
                 edges, followed = kept(written, have), []
         rest = cut(open_().select(F.col("child").alias("key")), "unreached") if left else None
         edges.unpersist()
