@@ -1,4 +1,4 @@
-"""Results held to limits of rows, characters and bytes, and follow-up suggestions."""
+"""Results held to limits of rows, characters and bytes, and queries that may follow."""
 
 from __future__ import annotations
 
@@ -33,21 +33,22 @@ def compact(rows: list[dict[str, Any]], metadata: dict[str, Any] | None = None,
         out.pop()
 
 
-def suggestions(p: Parsed, rows: list[dict[str, Any]]) -> list[str]:
-    """Up to three questions that may follow."""
-    top = next((r["symbol_name"] for r in rows if r.get("symbol_name")), None)
-    word = p.keywords[0] if p.keywords else ""
-    if not rows:
+def suggestions(p: Parsed, rows: list[dict[str, Any]], most: int = 3) -> list[str]:
+    """Queries this engine understands that follow from what was found, those not asked already, the nearest first."""
+    named = [r for r in rows if r.get("symbol_name")]
+    if not named:
         return []
-    if p.intent == "Search":
-        return [f"Show me how {top} is used", f"What calls {top}?", f"Find similar code to {top}"] if top else []
-    if p.intent == "Navigation":
-        return [f"Show me the implementation of {top}", f"What are the dependencies of {top}?"]
-    if p.intent == "Relations":
-        first = next((r for r in rows if r.get("related")), None)
-        return [f"Show me {first['related'][0]['name']}", f"Find the call chain from {first['symbol_name']} to {first['related'][0]['name']}"] if first else []
-    if p.intent == "Documentation":
-        return [f"Show me examples of {word}", f"Find tests for {word}"]
-    if p.intent == "Examples":
-        return [f"Explain how {word} works", f"Find more examples of {word}"]
-    return []
+    top = named[0]
+    name, out = top["symbol_name"], []
+    for other in top.get("related") or []:
+        out.append(f"locate {other['name']}")
+        break
+    if not (p.intent == "Relations" and p.incoming):
+        out.append(f"callers of {name}")
+    if not (p.intent == "Relations" and not p.incoming):
+        out.append(f"dependencies of {name}")
+    if p.intent != "Similar" and top.get("id"):
+        out.append(f"similar:{top['id']}")
+    if p.intent != "Documentation":
+        out.append(f"explain {name}")
+    return out[:most]
