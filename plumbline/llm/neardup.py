@@ -4,7 +4,8 @@ A text is the bag of its words (runs of ASCII letters, digits and underscores, l
 counted: the n-th occurrence of a word is an element of its own, so the bags' overlap is that of counted
 words. Equal bags form a class; only one row per class goes on. ROWS * BANDS minima under universal hashes
 give BANDS keys; classes that share a key are candidates, held against each other by a one-bit sketch of all
-minima and then by the exact overlap of their bags. Components come from alternating large-star and
+minima and then by the exact overlap of their bags. Keys that many classes share are split into blocks held
+against each other, so that no task meets all of them. Components come from alternating large-star and
 small-star rounds over the verified links.
 
 Defined results: rows with a null or blank id or a null text are left out, as are texts under min_chars and
@@ -21,15 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, cut_counted, drop_path, new_path
+from ..runtime import cut, cut_counted, drop_path, new_path, partitions
 
 #: Minima per key and keys per text: at an overlap of 0.70 a pair is met with 97.7 %, at 0.75 with 99.9 %, at 0.80 with 99.999 %.
 ROWS, BANDS = 8, 64
 #: Of the sketch's bits (one per minimum) this many must agree: 0.70 gives 435 of 512 on average, deviation 8.
 AGREE = 390
+#: Members of a key that are paired in one task; keys with more are split into blocks of about as many.
+BLOCK = 512
+#: Edges of a node beyond which it counts as hot (and an even share of a partition), and what its edges are spread over.
+HOT_EDGES, SALTS = 50_000, 16
 WORD = re.compile(rb"[a-z0-9_]+")
 _MASK = (1 << 64) - 1
 
@@ -52,7 +57,7 @@ class _Bags:
         self.known: dict[bytes, int] = {}
 
     def elements(self, text: str) -> list[int]:
-        words, seen, out = WORD.findall(text.lower().encode("utf-8", "replace")), {}, []
+        words, seen, out = WORD.findall(text.encode("utf-8", "replace").lower()), {}, []  # of bytes only ASCII letters have a lower case
         known = self.known
         if len(known) > 500_000:
             known.clear()
@@ -135,9 +140,8 @@ def links(df: DataFrame, threshold: float = 0.7, *, rows: int = ROWS, bands: int
     one = cut(one.select(F.xxhash64("id").alias("n"), "id", "bag", "sketch", "keys"), "classes")
     drop_path(spark, at)  # members and classes hold all that is still needed
 
-    banded = one.select(F.explode("keys").alias("key"), "n")
-    left, right = banded.alias("l"), banded.alias("r")  # not renamed: both sides read one exchange
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.n") < F.col("r.n"))).select(F.col("l.n").alias("na"), F.col("r.n").alias("nb")).distinct()
+    banded = one.select(F.explode("keys").alias("key"), F.col("n").alias("member"))
+    met = pairs_within(banded).select(F.col("x").alias("na"), F.col("y").alias("nb")).distinct()
     sketches = one.select("n", "id", "bag", "sketch")
     near = met.join(sketches.select(F.col("n").alias("na"), F.col("id").alias("ia"), F.col("sketch").alias("sa")), "na")
     near = near.join(sketches.select(F.col("n").alias("nb"), F.col("id").alias("ib"), F.col("sketch").alias("sb")), "nb")
@@ -155,21 +159,57 @@ def links(df: DataFrame, threshold: float = 0.7, *, rows: int = ROWS, bands: int
     return members, cut(both, "links")
 
 
+def pairs_within(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """df: key, member. All pairs x < y of different members of a key.
+
+    Members are counted per key first and those alone under their key are gone before the join. A key of more than
+    `block` members is cut into blocks by hash; each pair of blocks is a join key of its own, and each pair of
+    members meets in exactly one.
+    """
+    many, largest = F.count(F.lit(1)).over(Window.partitionBy("key")), Observation()
+    shared = df.withColumn("m", many).where("m > 1").observe(largest, F.max("m").alias("m"))
+    shared = cut(shared, "shared")
+    few = shared.where(F.col("m") <= block)
+    left, right = few.alias("l"), few.alias("r")  # not renamed: both sides read one exchange
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.member") < F.col("r.member"))).select(F.col("l.member").alias("x"), F.col("r.member").alias("y"))
+    if (largest.get["m"] or 0) <= block:
+        return pairs
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    hot = shared.where(F.col("m") > block).select("key", "member", blocks.alias("blocks"), F.pmod(F.xxhash64("member", F.lit(3)), blocks).cast("int").alias("at"))
+    a = hot.select("key", F.col("member").alias("a"), F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"))
+    b = hot.select("key", F.col("member").alias("b"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
+    across = a.join(b, ["key", "i", "j"]).where((F.col("a") < F.col("b")) | ((F.col("i") != F.col("j")) & (F.col("a") != F.col("b"))))
+    return pairs.unionByName(across.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")))
+
+
+def _with_least(edges: DataFrame, n: int, least: DataFrame) -> DataFrame:
+    """n edges u, v joined with their u's row of least (u, m, degree); edges of a hot u are spread over salts."""
+    limit = max(HOT_EDGES, n // (4 * partitions(edges.sparkSession)))  # at most 8 * partitions nodes can be hot
+    hot = [r[0] for r in least.where(F.col("degree") > limit).select("u").collect()] if n > limit else []
+    least = least.select("u", "m")
+    if not hot:
+        return edges.join(least, "u")
+    is_hot = F.col("u").isin(hot)
+    salted = edges.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0))
+    spread = least.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(spread, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. For each end of an edge: id, root, the smallest id of its component.
 
     Alternates large-star (neighbours not below a node link to its smallest) and small-star (its neighbours
-    below it do) until no edge changes; node degrees fall as edges go to the smallest ids.
+    below it do) until no edge changes; node degrees fall as edges go to the smallest ids. The root of a large
+    component is the end of nearly all its edges: such nodes are joined over salts.
     """
-    spark = edges.sparkSession
-    now, _ = cut_counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
+    now, n = cut_counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "v").alias("m"), "degree")
+        large = _with_least(both.where("v > u"), n, least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+        small = _with_least(large, n, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         now, n = cut_counted(small.select("e.u", "e.v").where("u <> v").distinct(), "stars")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == tuple(state):
@@ -195,7 +235,5 @@ def pairs(df: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
     ids = members.select("id", "class_id")
     a, b = ids.select(F.col("id").alias("x"), F.col("class_id").alias("a")), ids.select(F.col("id").alias("y"), F.col("class_id").alias("b"))
     between = found.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    many = ids.groupBy("class_id").count().where("count > 1").select(F.col("class_id").alias("a"))
-    copies = a.join(many, "a", "left_semi")
-    within = copies.join(copies.select(F.col("x").alias("y"), "a"), "a").where("x < y").select("x", "y")
+    within = pairs_within(ids.select(F.col("class_id").alias("key"), F.col("id").alias("member")))
     return between.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

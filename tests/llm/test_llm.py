@@ -291,6 +291,29 @@ def test_near_duplicates(spark):
     assert neardup.pairs(df.limit(0)).count() == 0
 
 
+def test_pairs_of_hot_keys_are_split(spark):
+    """Blocks lose and repeat no pair, whatever their size; single members and repeats of a member give none."""
+    rows = [("hot", i) for i in range(70)] + [("few", i) for i in (1, 5, 9)] + [("one", 3)] + [("twice", 4), ("twice", 4)]
+    df = spark.createDataFrame(rows, "key string, member long")
+    want = sorted([(i, j) for i in range(70) for j in range(i + 1, 70)] + [(1, 5), (1, 9), (5, 9)])
+    for block in (4, 16, 500):
+        assert sorted(tuple(r) for r in neardup.pairs_within(df, block).collect()) == want
+    assert neardup.pairs_within(df.limit(0)).count() == 0
+
+
+def test_words_are_ascii():
+    """Only ASCII letters have a case here: the Kelvin sign and the dotted I end words."""
+    assert neardup._Bags().elements("ABC") == neardup._Bags().elements("abc")
+    assert len(neardup._Bags().elements("a\u212ab")) == 2 and len(neardup._Bags().elements("a\u0130b")) == 2
+
+
+def test_hot_roots_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_EDGES", 5)
+    edges = [("a", f"n{i:03}") for i in range(90)] + [("x", "y"), ("y", "z")]
+    got = {r["id"]: r["root"] for r in neardup.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {**{f"n{i:03}": "a" for i in range(90)}, "a": "a", "x": "x", "y": "x", "z": "x"}
+
+
 def test_components(spark):
     r = random.Random(2)
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)]
