@@ -1,14 +1,17 @@
 """The most similar vectors for every vector, by learned partitions.
 
-Fitted on a bounded sample of each model's vectors: the sample's neighbour graph is cut into balanced parts,
-and a small softmax classifier learns which part a vector's neighbours lie in. Every vector is indexed in the
-part the classifier finds most probable and queried in the several most probable ones; within a part, blocks
-of queries meet blocks of vectors by matrix products, and the best k of all parts are kept.
+Each model's vectors are one cell at first. A cell over the size of a block is split: on a bounded sample of it the
+neighbour graph is cut into balanced parts, and a small softmax classifier learns which part a vector's
+neighbours lie in; every vector of the cell moves to the part the classifier finds most probable, and is asked
+for in the several most probable ones. Parts still too large are split again in the same way, so that parts keep
+their size and the work per vector its amount however many vectors there are. Within a part, queries meet
+vectors by matrix products, and the best k of all parts are kept.
 
 Defined results: usable are vectors of the expected length without nulls, NaN or infinities and not all zero;
 rows with a null id or model are left out; an id counts once however often its row is repeated (its greatest
 row); similarity is the cosine; ties go to the smaller id; a vector alone in its model has no neighbours; an
-empty table gives an empty result. Only the named columns are read.
+empty table gives an empty result. Only the named columns are read. With probes=(least, most, 1.0) and most
+as large as FAN every part is asked and the result is that of brute force.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, cut_counted
+from ..runtime import cut
 
-#: Vectors of a model that the index is fitted on at most, vectors a part should hold, and most parts of an index.
-SAMPLE, PART, PARTS = 12_000, 1_000, 512
-#: Parts a query is sent to: the most probable ones up to this share of probability, this many at least and at most.
+#: Vectors of a cell that its split is fitted on (about as many, by hash), vectors a part should hold, most parts of one split, and splits in a row at most.
+SAMPLE, PART, FAN, LEVELS = 12_000, 1_000, 512, 6
+#: Parts of a split that a query is sent to: the most probable ones up to this share of probability, this many at least and at most.
 PROBES_LEAST, PROBES_MOST, PROBABILITY = 4, 24, 0.99
-#: Rows of a block of a part; a part that grows beyond that is searched block by block.
+#: Rows of a cell that is not split; one that can't be (equal vectors) is searched in blocks of as many.
 BLOCK = 4_096
 
 
@@ -129,39 +132,52 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def fit(vectors: DataFrame, counts: dict[str, int], sample: int = SAMPLE, part: int = PART, seed: int = 6) -> dict[str, tuple[np.ndarray, np.ndarray] | None]:
-    """The router of each model; None where all its vectors fit one part. Reads at most `sample` vectors of each."""
-    routers: dict[str, tuple[np.ndarray, np.ndarray] | None] = {}
-    for model, n in sorted(counts.items()):
-        if n <= part:
-            routers[model] = None
-            continue
-        rows = vectors.where(F.col("model") == model)
-        if n > sample:  # by hash, and cut off: the sample is bounded whatever the fraction brings
-            rows = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * sample / n) + 1)
-        x = _unit(np.stack(rows.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).select("vector").toPandas()["vector"].to_numpy()).astype(np.float32))
-        parts = int(min(PARTS, max(2, n // part), max(2, len(x) // 24)))
+def _matrix(column: pd.Series) -> np.ndarray:
+    """Rows of float32 kept as bytes."""
+    return np.frombuffer(b"".join(column), dtype=np.float32).reshape(len(column), -1)
+
+
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Vectors divided by their lengths, as bytes of float32; they may differ in length from model to model."""
+    for b in batches:
+        if len(b):
+            sizes = np.array([len(v) for v in b["vector"]])
+            unit = np.empty(len(b), dtype=object)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                x = _unit(np.stack(b["vector"].iloc[at].to_numpy()).astype(np.float64)).astype(np.float32)
+                for i, row in zip(at, x):
+                    unit[i] = row.tobytes()
+            yield pd.DataFrame({"id": b["id"], "cell": b["model"], "unit": unit})
+
+
+def _fit(part: int, fan: int, seed: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", kind="stable")
+        x = _matrix(rows["unit"])
+        parts = int(min(fan, max(2, rows["n"].iloc[0] // part), max(2, len(x) // 24)))
         near = sample_graph(x)
-        routers[model] = router(x, near, balanced_parts(x, near, parts, seed), parts, seed)
-    return routers
-
-
-def _route(routers: dict, least: int, most: int, probability: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for model, g in b.groupby("model", sort=False):
-                x = _unit(np.stack(g["vector"].to_numpy()).astype(np.float64)).astype(np.float32)
-                if (r := routers.get(model)) is None:
-                    chosen = [[0]] * len(g)
-                else:
-                    p = _softmax(x @ r[0] + r[1])
-                    order = np.argsort(-p, axis=1)[:, :most]
-                    reach = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
-                    take = np.clip((reach < probability).sum(1) + 1, least, most)
-                    chosen = [o[:t].tolist() for o, t in zip(order, take)]
-                out.append(pd.DataFrame({"id": g["id"].to_numpy(), "model": model, "unit": list(x), "parts": chosen}))
-            yield pd.concat(out) if out else pd.DataFrame({"id": [], "model": [], "unit": [], "parts": []})
+        w, c = router(x, near, balanced_parts(x, near, parts, seed), parts, seed)
+        return pd.DataFrame({"of": [rows["cell"].iloc[0]], "parts": [parts], "weights": [w.tobytes()], "biases": [c.tobytes()]})
+
+    return run
+
+
+def _route(least: int, most: int, probability: float):
+    def run(key, rows: pd.DataFrame, routers: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"id": [], "unit": [], "home": [], "cell": []})
+        x, r = _matrix(rows["unit"]), routers.iloc[0]
+        w = np.frombuffer(r["weights"], dtype=np.float32).reshape(x.shape[1], r["parts"])
+        p = _softmax(x @ w + np.frombuffer(r["biases"], dtype=np.float32))
+        order = np.argsort(-p, axis=1)[:, :most]
+        reach = np.cumsum(np.take_along_axis(p, order, 1), axis=1)
+        take = np.arange(order.shape[1]) < np.clip((reach < probability).sum(1) + 1, least, most)[:, None]
+        row = np.repeat(np.arange(len(x)), take.sum(1))
+        first = np.zeros_like(take)
+        first[:, 0] = True
+        names = np.array([f"{r['of']}/{i}" for i in range(r["parts"])], dtype=object)
+        return pd.DataFrame({"id": rows["id"].to_numpy()[row], "unit": rows["unit"].to_numpy()[row], "home": rows["home"].to_numpy()[row] & first[take], "cell": names[order[take]]})
 
     return run
 
@@ -171,11 +187,14 @@ def _search(k: int):
         if not len(queries) or not len(block):
             return pd.DataFrame({"id": [], "near": [], "cosine": []})
         block = block.sort_values("its_id", kind="stable")
-        ids, x = block["its_id"].to_numpy(), np.stack(block["its_unit"].to_numpy())
-        qids, out = queries["id"].to_numpy(), []
-        for s in range(0, len(queries), 1024):
-            sims = np.stack(queries["unit"].iloc[s : s + 1024].to_numpy()) @ x.T
-            sims[qids[s : s + 1024, None] == ids[None, :]] = -2
+        ids, x = block["its_id"].to_numpy(), _matrix(block["its_unit"])
+        at = pd.Series(np.arange(len(ids)), index=ids)
+        qids, q, out = queries["id"].to_numpy(), _matrix(queries["unit"]), []
+        own = at.reindex(qids).to_numpy()
+        for s in range(0, len(q), 1024):
+            sims = q[s : s + 1024] @ x.T
+            here = np.flatnonzero(~np.isnan(own[s : s + 1024]))
+            sims[here, own[s : s + 1024][here].astype(np.int64)] = -2
             m = min(k + 1, sims.shape[1])
             top = np.sort(np.argpartition(-sims, m - 1, axis=1)[:, :m], axis=1)
             value = np.take_along_axis(sims, top, 1)
@@ -187,26 +206,38 @@ def _search(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int, *, sample: int = SAMPLE, part: int = PART, probes: tuple[int, int, float] = (PROBES_LEAST, PROBES_MOST, PROBABILITY), block: int = BLOCK) -> DataFrame:
-    """vectors: usable ones (id, model, vector). Gives model, id, near, cosine, place for the k nearest of each."""
-    vectors = cut(vectors, "usable")
-    counts = {r["model"]: r["n"] for r in vectors.groupBy("model").agg(F.count(F.lit(1)).alias("n")).collect()}
-    routers = fit(vectors, counts, sample, part)
-    routed = vectors.mapInPandas(_route(routers, *probes), "id string, model string, unit array<float>, parts array<int>")
-    routed, total = cut_counted(routed, "routed")
-    home = routed.select("id", "model", "unit", F.element_at("parts", 1).alias("part"))
-    sizes = home.groupBy("model", "part").agg(F.count(F.lit(1)).alias("n"))  # at most models * PARTS rows
+def cells(vectors: DataFrame, *, sample: int = SAMPLE, part: int = PART, fan: int = FAN, probes: tuple[int, int, float] = (PROBES_LEAST, PROBES_MOST, PROBABILITY), block: int = BLOCK, levels: int = LEVELS, seed: int = 6) -> DataFrame:
+    """vectors: id, model, vector. Every vector in each cell it is asked for: id, unit (bytes), cell, home (whether it is held there)."""
+    rows = vectors.select("id", "model", "vector").mapInPandas(_units, "id string, cell string, unit binary").withColumn("home", F.lit(True))
+    rows = cut(rows, "cells")
+    for level in range(levels):
+        sizes = cut(rows.where("home").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "large")
+        if sizes.isEmpty():
+            break
+        large = rows.join(sizes, "cell")
+        some = large.where("home").where(F.pmod(F.xxhash64("id", F.lit(seed + level)), F.lit(1_000_000)) < F.lit(1_000_000.0 * sample) / F.col("n"))
+        routers = cut(some.select("cell", "n", "id", "unit").groupBy("cell").applyInPandas(_fit(part, fan, seed), "of string, parts int, weights binary, biases binary"), "routers")
+        # A cell is routed in slices of about a block, each with a copy of its router.
+        slices = F.ceil(F.col("n") / block).cast("int")
+        asked = large.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(2)), slices).cast("int")).select("cell", "slice", "id", "unit", "home")
+        copies = routers.join(sizes, F.col("of") == F.col("cell")).select("of", "parts", "weights", "biases", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+        moved = asked.groupBy("cell", "slice").cogroup(copies.groupBy("of", "slice")).applyInPandas(_route(*probes), "id string, unit binary, home boolean, cell string")
+        rows = cut(rows.join(sizes, "cell", "left_anti").select("id", "unit", "home", "cell").unionByName(moved), "cells")
+    return rows
+
+
+def nearest(vectors: DataFrame, k: int, *, block: int = BLOCK, **how) -> DataFrame:
+    """vectors: usable ones (id, model, vector). Gives id, near, cosine, place for the k nearest of each."""
+    rows = cells(vectors, block=block, **how)
+    sizes = rows.where("home").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    # A large part is several blocks; its queries go to each of them, themselves in slices.
-    home = home.join(F.broadcast(sizes), ["model", "part"]).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    asked = routed.select("id", "model", "unit", F.explode("parts").alias("part")).join(F.broadcast(sizes), ["model", "part"])
-    asked = asked.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(blocks, F.lit(1))).cast("int"))
-    slices = F.explode(F.sequence(F.lit(0), blocks - 1))
-    keys = ["model", "part", "block", "slice"]
-    queries = asked.withColumn("block", slices).select(*keys, "id", "unit")
-    theirs = [f"its_{c}" for c in keys]  # the two sides come from one table: their columns must differ in name
-    targets = home.withColumn("slice", slices).select(*[F.col(c).alias(t) for c, t in zip(keys, theirs)], F.col("id").alias("its_id"), F.col("unit").alias("its_unit"))
-    found = queries.groupBy(*keys).cogroup(targets.groupBy(*theirs)).applyInPandas(_search(k), "id string, near string, cosine double")
+    rows = rows.join(sizes, "cell").select("cell", "id", "unit", "home", blocks.alias("blocks"))
+    # A cell of one block is one group; of more, each block of its vectors meets each slice of its queries.
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    queries = rows.withColumn("slice", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).select("cell", "slice", each.alias("block"), "id", "unit")
+    targets = rows.where("home").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    targets = targets.select(F.col("cell").alias("its_cell"), each.alias("its_slice"), F.col("block").alias("its_block"), F.col("id").alias("its_id"), F.col("unit").alias("its_unit"))
+    found = queries.groupBy("cell", "slice", "block").cogroup(targets.groupBy("its_cell", "its_slice", "its_block")).applyInPandas(_search(k), "id string, near string, cosine double")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "near"))
     best = found.withColumn("place", place).where(F.col("place") <= k)
     return cut(best, "nearest")

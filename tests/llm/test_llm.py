@@ -248,6 +248,15 @@ def test_neighbours_recall(spark):
     truth = np.argsort(-sims, axis=1)[:, :5]
     recall = np.mean([len({f"v{j:04d}" for j in t} & near[f"v{i:04d}"]) / 5 for i, t in enumerate(truth)])
     assert recall >= 0.9 and "alone" not in near
+    # Split over several levels, until a cell is a block; and asked for everywhere, which is brute force.
+    deep = dict(sample=200, part=10, fan=6, block=64)
+    assert neighbours.cells(u, **deep).selectExpr("max(size(split(cell, '/'))) as depth").first()["depth"] >= 3
+    for probes, least in (((3, 6, 0.95), 0.9), ((6, 6, 1.0), 1.0)):
+        near = {k: set(g["near"]) for k, g in neighbours.nearest(u, 5, probes=probes, **deep).toPandas().groupby("id")}
+        assert np.mean([len({f"v{j:04d}" for j in t} & near[f"v{i:04d}"]) / 5 for i, t in enumerate(truth)]) >= least
+    same = spark.createDataFrame([(f"s{i:03d}", "m", [1.0] * 16) for i in range(150)], "id string, model string, vector array<float>")
+    few = neighbours.nearest(neighbours.usable(same, {}, 16), 5, sample=100, part=10, fan=6, block=64).toPandas()
+    assert len(few) == 750 and set(few.near) <= {f"s{i:03d}" for i in range(6)}  # equal vectors: ties to the smaller id
     pairs = neighbours.mutual(got, 0.8).collect()
     assert pairs and all(a < b for a, b in pairs)
     assert neighbours.nearest(u.limit(0), 5).count() == 0
