@@ -229,7 +229,7 @@ def cells(vectors: DataFrame, *, sample: int = SAMPLE, part: int = PART, fan: in
 def nearest(vectors: DataFrame, k: int, *, block: int = BLOCK, **how) -> DataFrame:
     """vectors: usable ones (id, model, vector). Gives id, near, cosine, place for the k nearest of each."""
     rows = cells(vectors, block=block, **how)
-    sizes = rows.where("home").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cut(rows.where("home").groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "sizes")  # written: its size is known when the join is planned
     blocks = F.ceil(F.col("n") / block).cast("int")
     rows = rows.join(sizes, "cell").select("cell", "id", "unit", "home", blocks.alias("blocks"))
     # A cell of one block is one group; of more, each block of its vectors meets each slice of its queries.
