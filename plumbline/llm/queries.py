@@ -140,16 +140,17 @@ def _inverse_normal_sql(p: str) -> str:
     """The same approximation of the normal quantile in SQL."""
 
     def horner(c: tuple[float, ...], x: str) -> str:
-        y = repr(c[0])
+        y = f"({c[0]!r})"
         for v in c[1:]:
             y = f"({y} * {x} + ({v!r}))"
         return y
 
     r = rank_fusion
-    q, e = f"({p} - 0.5e0)", f"sqrt(-2.0e0 * ln(least({p}, 1.0e0 - {p})))"
-    middle = f"({horner(r._A, f'({q} * {q})')} * {q} / {horner((*r._B, 1.0), f'({q} * {q})')})"
-    tail = f"({horner(r._C, e)} / {horner((*r._D, 1.0), e)})"
-    return f"(CASE WHEN {p} < {r._LOW} THEN {tail} WHEN {p} > {1 - r._LOW} THEN -{tail} ELSE {middle} END)"
+    q, e = f"({p} - 0.5e0)", f"sqrt(-ln(least({p}, 1.0e0 - {p})))"
+    m, near, far = f"(0.180625e0 - {q} * {q})", f"({e} - 1.6e0)", f"({e} - 5.0e0)"
+    middle = f"({q} * {horner(r._MIDDLE, m)} / {horner(r._MIDDLE_UNDER, m)})"
+    tail = f"(CASE WHEN {e} <= 5.0e0 THEN {horner(r._TAIL, near)} / {horner(r._TAIL_UNDER, near)} ELSE {horner(r._FAR, far)} / {horner(r._FAR_UNDER, far)} END)"
+    return f"(CASE WHEN abs({q}) <= 0.425e0 THEN {middle} WHEN {q} < 0 THEN -{tail} ELSE {tail} END)"
 
 
 _RANKED = f"""
@@ -166,7 +167,7 @@ ranked AS (
     count(*) OVER (PARTITION BY query_id, list, v) AS same
   FROM full_lists),
 p AS (SELECT query_id, symbol_id, (lowest + (same - 1) / 2.0e0 - 0.5e0) / n AS p FROM ranked),
-scored AS (SELECT query_id, symbol_id, round(avg({_inverse_normal_sql('p')}), 6) AS score FROM p GROUP BY ALL),
+scored AS (SELECT query_id, symbol_id, round(avg({_inverse_normal_sql('p')}), {rank_fusion.DIGITS}) AS score FROM p GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, symbol_id) AS place FROM scored)
 """
 
