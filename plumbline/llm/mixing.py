@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut, cut_counted
 from . import tokens as T
 
-#: Denominator of rates; parts that a range of sizes is spread over by hash.
-UNIT, SPREAD = 1_000_000_000, 64
+#: Denominator of rates; parts that a range of sizes is spread over by hash at least, and records that make one more.
+UNIT, SPREAD, EACH = 1_000_000_000, 64, 500_000
 
 
 def source_name(c: Column) -> Column:
@@ -39,7 +39,8 @@ def sized(documents: DataFrame, ranks: str = T.RANKS) -> DataFrame:
 
 def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 9) -> tuple[DataFrame, DataFrame]:
     """records: id, source, tokens. Gives the draw (id, source, tokens, copies > 0) and the report per source."""
-    records = cut(records, "records")
+    records, n_records = cut_counted(records, "records")
+    spread = max(SPREAD, n_records // EACH)  # a source may hold nearly all records, in few size ranges
     want = targets.where("source is not null").select(source_name(F.col("source")).alias("source"), F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0)).alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("most"))
     want = want.groupBy("source").agg(F.max("share").alias("share"), F.max("most").alias("most"))
     have = records.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("texts"))
@@ -54,7 +55,7 @@ def mix(records: DataFrame, targets: DataFrame, total: int | None = None, seed:
 
     size_range = F.floor(F.log2(F.col("tokens").cast("double")) * 8).cast("int")
     rows = records.join(F.broadcast(plan.select("source")), "source", "left_semi")  # as many rows as there are targets
-    rows = rows.withColumns({"range": size_range, "part": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(SPREAD)).cast("int")})
+    rows = rows.withColumns({"range": size_range, "part": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(spread)).cast("int")})
     sums = rows.groupBy("source", "range", "part").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("source").orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "range", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))

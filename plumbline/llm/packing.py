@@ -3,7 +3,9 @@
 Items over the capacity are cut into full containers and one rest. The others go, in blocks of bounded size,
 through bin completion: around the largest item left, fillings no other filling dominates are enumerated and
 followed branch and bound, best-fit decreasing giving the first incumbent and the waste so far the bound.
-Containers that stay emptier than wanted are taken apart and packed once more across blocks.
+Containers that stay emptier than wanted are taken apart and packed once more across blocks. The search is
+bounded by branches, steps and nodes; each of them None leaves it unbounded, and the packing of a block is then
+one with the fewest containers.
 
 Defined results: items with a null id or null or non-positive size are left out; repeated rows of an id
 count once (its largest size); equal sizes are ordered by id; an item is split only if it is over the
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut_counted
+from ..runtime import cut_counted, partitions
 
 #: Items of a block, fillings tried around one item, steps of finding them, nodes of a block's search, fill under which a container is packed again.
 BLOCK, BRANCHES, STEPS, NODES, FULL = 512, 4, 200, 3_000, 0.98
@@ -40,14 +42,15 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(room: int, sizes: list[int], most: int) -> list[tuple[int, ...]]:
+def fillings(room: int, sizes: list[int], most: int | None, steps: int | None = STEPS) -> list[tuple[int, ...]]:
     """Up to `most` sets of indices into sizes (descending) that fit the room, fullest first, none dominated by another found.
 
     One filling dominates another if its items are as many and none smaller; only fillings to which no item
-    left can be added are taken. After STEPS steps the set at hand is filled up and no other is begun.
+    left can be added are taken. After `steps` steps the set at hand is filled up and no other is begun.
+    None for most or steps is no bound.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
-    budget = STEPS
+    budget = float("inf") if steps is None else steps
 
     def add(start: int, left: int, chosen: tuple[int, ...]) -> None:
         nonlocal budget
@@ -60,7 +63,7 @@ def fillings(room: int, sizes: list[int], most: int) -> list[tuple[int, ...]]:
                 budget -= 1
                 grew = True
                 add(i + 1, left - last, (*chosen, i))
-                if found and found[0][0] == 0:
+                if most is not None and found and found[0][0] == 0:
                     return
             i += 1
         if not grew:
@@ -73,7 +76,8 @@ def fillings(room: int, sizes: list[int], most: int) -> list[tuple[int, ...]]:
                 return
             found.append((left, chosen))
             found.sort()
-            del found[4 * most :]
+            if most is not None:
+                del found[4 * most :]
 
     add(0, room, ())
     kept: list[tuple[int, ...]] = []
@@ -85,12 +89,12 @@ def fillings(room: int, sizes: list[int], most: int) -> list[tuple[int, ...]]:
     return kept
 
 
-def complete(sizes: list[int], capacity: int, branches: int = BRANCHES, nodes: int = NODES) -> list[list[int]]:
-    """Bin completion: indices per container, as few containers as the search finds."""
+def complete(sizes: list[int], capacity: int, branches: int | None = BRANCHES, nodes: int | None = NODES, steps: int | None = STEPS) -> list[list[int]]:
+    """Bin completion: indices per container, as few containers as the search finds, the fewest there are if nothing bounds it."""
     best = best_fit(sizes, capacity)
     lower = -(-sum(sizes) // capacity)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    left_nodes = nodes
+    left_nodes = float("inf") if nodes is None else nodes
 
     def search(rest: list[int], done: list[list[int]], waste: int) -> bool:
         """rest: indices, largest first. True when the bound is met."""
@@ -104,7 +108,7 @@ def complete(sizes: list[int], capacity: int, branches: int = BRANCHES, nodes: i
             return False
         head, tail = rest[0], rest[1:]
         ts = [sizes[i] for i in tail]
-        for f in fillings(capacity - sizes[head], ts, branches):
+        for f in fillings(capacity - sizes[head], ts, branches, steps):
             left_nodes -= 1
             taken = set(f)
             filled = [head, *(tail[j] for j in f)]
@@ -124,10 +128,10 @@ def complete(sizes: list[int], capacity: int, branches: int = BRANCHES, nodes: i
     return best
 
 
-def _pack(capacity: int, stage: str):
+def _pack(capacity: int, stage: str, **bounds: int | None):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "item", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        bins = complete(block["size"].tolist(), capacity)
+        bins = complete(block["size"].tolist(), capacity, **bounds)
         name = f"{stage}-{block['block'].iloc[0]}"
         where = [(i, f"{name}-{k}") for k, b in enumerate(bins) for i in b]
         at = pd.Series(dict(where))
@@ -139,7 +143,7 @@ def _pack(capacity: int, stage: str):
     return run
 
 
-def pack(items: DataFrame, capacity: int, block: int = BLOCK, full: float = FULL) -> DataFrame:
+def pack(items: DataFrame, capacity: int, block: int = BLOCK, full: float = FULL, *, branches: int | None = BRANCHES, nodes: int | None = NODES, steps: int | None = STEPS) -> DataFrame:
     """items: item, size. Gives container, item, piece, size, used (what the container holds)."""
     types = "container string, item string, piece long, size long, used long"
     rows = items.select(F.col("item").cast("string").alias("item"), F.col("size").cast("long").alias("size")).where("item is not null and size > 0").groupBy("item").agg(F.max("size").alias("size"))
@@ -149,9 +153,16 @@ def pack(items: DataFrame, capacity: int, block: int = BLOCK, full: float = FULL
     pieces = pieces.select(F.concat_ws("-", F.lit("whole"), "item", "piece").alias("container"), "item", "piece", F.lit(capacity).cast("long").alias("size"), F.lit(capacity).cast("long").alias("used"))
     rest = rows.select("item", F.col("whole").alias("piece"), (F.col("size") - F.col("whole") * capacity).alias("size")).where("size > 0")
 
-    blocks = lambda df, n, seed: df.withColumn("block", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(max(1, -(-n // block)))))
-    first, _ = cut_counted(blocks(rest, n, 1).groupBy("block").applyInPandas(_pack(capacity, "a"), types), "packed")
+    parts, bounds = partitions(items.sparkSession), {"branches": branches, "nodes": nodes, "steps": steps}
+
+    def packed(df: DataFrame, n: int, seed: int, stage: str) -> DataFrame:
+        # The work is in Python, not in bytes: partitions by the number of blocks, which are not merged for being small.
+        count = max(1, -(-n // block))
+        df = df.withColumn("block", F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(count))).repartition(max(min(count, 2 * parts), count // 64), "block")
+        return df.groupBy("block").applyInPandas(_pack(capacity, stage, **bounds), types)
+
+    first, _ = cut_counted(packed(rest, n, 1, "a"), "packed")
     loose = first.where(F.col("used") < full * capacity).select("item", "piece", "size")
     loose, m = cut_counted(loose, "loose")
-    again = blocks(loose, m, 2).groupBy("block").applyInPandas(_pack(capacity, "b"), types)
+    again = packed(loose, m, 2, "b")
     return pieces.unionByName(first.where(F.col("used") >= full * capacity)).unionByName(again)

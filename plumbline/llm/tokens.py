@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 RANKS = os.environ.get("PLUMBLINE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the pattern by which this public vocabulary cuts a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Longest stretch handed to the tokenizer at once; longer texts are cut at line ends or, failing those, at spaces.
+#: Characters after which a longer text is cut, at the next place where the pattern cuts it in any case.
 STRETCH = 100_000
+#: Between two letters one space begins a new piece whatever surrounds it.
+_CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
 _encoders: dict[str, object] = {}
 
@@ -32,14 +35,11 @@ def encoder(ranks: str = RANKS):
 
 
 def count(text: str, ranks: str = RANKS) -> int:
-    """Tokens of a whole text."""
+    """Tokens of a whole text; cutting a long one changes nothing."""
     e, n, at = encoder(ranks), 0, 0
-    while len(text) - at > STRETCH:
-        to = text.rfind("\n", at + 1, at + STRETCH)
-        to = to if to > at else text.rfind(" ", at + 1, at + STRETCH)
-        to = to if to > at else at + STRETCH
-        n += len(e.encode_ordinary(text[at:to]))
-        at = to
+    while len(text) - at > STRETCH and (m := _CUT.search(text, at + STRETCH)):
+        n += len(e.encode_ordinary(text[at : m.start()]))
+        at = m.start()
     return n + len(e.encode_ordinary(text[at:]))
 
 

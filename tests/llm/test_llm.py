@@ -22,10 +22,10 @@ def normal_quantile(p):
 
 
 def test_inverse_normal(spark):
-    ps = [0.0001, 0.01, 0.02425, 0.3, 0.5, 0.77, 0.98, 0.9999]
+    ps = [1e-13, 1e-9, 0.0001, 0.01, 0.02425, 0.3, 0.5, 0.77, 0.98, 0.9999]
     got = spark.createDataFrame([(p,) for p in ps], "p double").select("p", rank_fusion.inverse_normal(F.col("p")).alias("q")).collect()
     for r in got:
-        assert r["q"] == pytest.approx(normal_quantile(r["p"]), abs=1e-7)
+        assert r["q"] == pytest.approx(normal_quantile(r["p"]), abs=1e-13)
 
 
 def test_fusion_against_brute_force(spark):
@@ -355,6 +355,31 @@ def test_completion_beats_or_meets_best_fit():
     assert len(packing.complete([6, 5, 4, 3, 3, 3], 12)) == 2 and packing.complete([], 10) == []
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_unbounded_completion_is_exact(seed):
+    from functools import lru_cache
+
+    r = random.Random(seed)
+    sizes, capacity = [r.randrange(5, 60) for _ in range(9)], 100
+
+    @lru_cache(None)
+    def fewest(left):
+        """Containers that the items of a bit mask need at least, by trying all sets around the first of them."""
+        if not left:
+            return 0
+        head = (left & -left).bit_length() - 1
+        rest, best, sub = left & (left - 1), 99, left & (left - 1)
+        while True:
+            if sizes[head] + sum(s for i, s in enumerate(sizes) if sub >> i & 1) <= capacity:
+                best = min(best, 1 + fewest(rest & ~sub))
+            if not sub:
+                return best
+            sub = (sub - 1) & rest
+
+    got = packing.complete(sizes, capacity, branches=None, nodes=None, steps=None)
+    assert len(got) == fewest((1 << len(sizes)) - 1) and sorted(i for b in got for i in b) == list(range(len(sizes)))
+
+
 def test_fillings_leave_no_room_for_an_item():
     r = random.Random(8)
     cases = [(9, [5, 3]), (400, [1] * 450), (10_007, sorted((r.randrange(20, 60) for _ in range(500)), reverse=True))]
@@ -385,6 +410,20 @@ def test_tokens(spark):
     assert got[1] == 2 and got[2] == got[3] == 0 and 60000 <= got[4] <= 60010
 
 
+@pytest.mark.parametrize("kind", ["words", "spaces", "nothing to cut", "digits", "accents"])
+def test_token_counts_of_long_texts(kind):
+    """Cutting a long text for speed changes no count."""
+    r = random.Random(4)
+    text = {
+        "words": lambda: " ".join("".join(r.choices("abcdefg'’", k=r.randrange(1, 9))) for _ in range(60_000)),
+        "spaces": lambda: "".join(r.choices("ab \n\t.", k=250_000)),
+        "nothing to cut": lambda: ".x" * 110_000,
+        "digits": lambda: "".join(r.choices("12 ", k=220_000)),
+        "accents": lambda: "".join(r.choices("äé ß\u00a0x", k=220_000)),
+    }[kind]()
+    assert len(text) > tokens.STRETCH and tokens.count(text) == len(tokens.encoder().encode_ordinary(text))
+
+
 def test_mix(spark):
     r = random.Random(7)
     rows = [(i, "big" if i % 3 else "small", r.randrange(1, 400)) for i in range(900)]
