@@ -16,14 +16,16 @@ from . import stats
 OLD, DEGREE, FULL = 0.7, 0.3, 20.0
 
 
-def references(edges: DataFrame, symbols: DataFrame, target: str, kind: str | None = None, k: int = 100) -> DataFrame:
+def references(edges: DataFrame, symbols: DataFrame, target: str, kind: str | None = None, k: int | None = 100) -> DataFrame:
     """What points at a symbol, with the source symbol's place."""
     x = R.where_given(edges, target_id=target, kind=kind).join(symbols.select(F.col("id").alias("source_id"), "name", "file_path"), "source_id")
-    return x.select("source_id", "name", "kind", "file_path", "line").orderBy("file_path", "line", "source_id").limit(k)
+    x = x.select("source_id", "name", "kind", "file_path", "line").orderBy("file_path", "line", "source_id")
+    return x.limit(k) if k is not None else x
 
 
-def dependencies(edges: DataFrame, source: str, kind: str | None = None, k: int = 100) -> DataFrame:
-    return R.where_given(edges, source_id=source, kind=kind).select("target_id", "kind", "line").orderBy("line", "target_id").limit(k)
+def dependencies(edges: DataFrame, source: str, kind: str | None = None, k: int | None = 100) -> DataFrame:
+    x = R.where_given(edges, source_id=source, kind=kind).select("target_id", "kind", "line").orderBy("line", "target_id")
+    return x.limit(k) if k is not None else x
 
 
 def call_chain(edges: DataFrame, start: DataFrame, depth: int = 5, kind: str = "Calls", distinct: bool = False) -> DataFrame:

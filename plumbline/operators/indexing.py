@@ -118,6 +118,13 @@ def resolve_edges(edges: DataFrame, batch: DataFrame, stored: DataFrame) -> Data
     return x.where(F.col("target_id").isNotNull() | F.col("parent").isNotNull()).select("edge_id", "source_id", "target", F.coalesce("target_id", "target").alias("target_id"), "step")
 
 
+def counters(files: DataFrame, language: str, fits: Column) -> DataFrame:
+    """One row: files, those parsed, skipped for their language, and failed for what keeps them from being read (fits is false)."""
+    wanted = T.is_indexed_language(language)
+    n = lambda c: F.count(F.when(c, 1))
+    return files.agg(F.count(F.lit(1)).alias("files"), n(wanted & fits).alias("parsed"), n(~wanted).alias("skipped"), n(wanted & ~fits).alias("failed"))
+
+
 def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """old, new: file_path, digest. file_path, change (Added, Modified, Deleted, Renamed), old_file_path of a rename by equal digest."""
     both = old.select("file_path", F.col("digest").alias("was")).join(new.select("file_path", F.col("digest").alias("now")), "file_path", "full_outer")

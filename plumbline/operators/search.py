@@ -100,6 +100,14 @@ def matches(w: Column, q: TextQuery) -> Column:
     return ok
 
 
+_PART_OF_NAME = re.compile(T.TOKEN)
+
+
+def tokens_of(word: str) -> list[str]:
+    """The tokens of a driver-side word, as all_tokens gives them for a column."""
+    return [t.lower() for t in _PART_OF_NAME.findall(re.sub("[^A-Za-z0-9]+", " ", word)) if len(t) >= 2]
+
+
 def postings(df: DataFrame, key: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """fields: name to (column, label). One row per key, token and label: key, token, label, tf."""
     per = F.array(*[F.struct(F.lit(label).alias("label"), T.all_tokens(c).alias("tokens")) for c, label in fields.values()])
@@ -178,27 +186,40 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float
     return both.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def similar(seed: str, prints: DataFrame, snippets: DataFrame, terms: list[str], candidates: int = 2000, k: int = 10) -> tuple[DataFrame | None, str | None]:
+def similar(seed: str, prints: DataFrame, snippets: DataFrame, terms: list[str], candidates: int | None = 2000, k: int | None = 10, *, symbols: DataFrame | None = None, repo: str | None = None, branch: str | None = None) -> tuple[DataFrame | None, str | None]:
     """Symbols near a seed's sketch within its scope: symbol_id, distance, score; or an error code.
 
     prints: symbol_id, repo_id, branch_name, language, kind, fingerprint_kind, fingerprint, band0 to band3.
-    snippets: symbol_id, text, in which all terms must occur.
+    snippets: symbol_id, text, in which all terms must occur. symbols (symbol_id, kind, language), if given, must hold the
+    seed, and candidates whose kind or language there is another than the seed's are left out. repo and branch, if given,
+    must be the seed's. None for candidates or k is no limit.
     """
     if not seed.strip():
         return None, "seed_missing"
+    at_home = symbols.where(F.col("symbol_id") == seed).limit(1).collect() if symbols is not None else None
+    if at_home == []:
+        return None, "seed_not_found"
     own = prints.where(F.col("symbol_id") == seed).limit(1).collect()
     if not own:
         return None, "seed_fingerprint_missing"
     s = own[0]
     if s["repo_id"] is None or s["branch_name"] is None:
         return None, "seed_scope_missing"
+    if (repo is not None and repo != s["repo_id"]) or (branch is not None and branch != s["branch_name"]):
+        return None, "seed_scope_mismatch"
     scope = {c: s[c] for c in ("repo_id", "branch_name", "language", "kind", "fingerprint_kind")}
     met = F.lit(False)
     for i in range(4):
         met = met | (F.col(f"band{i}") == s[f"band{i}"])
     d = F.bit_count(F.col("fingerprint").bitwiseXOR(F.lit(s["fingerprint"])))
     x = R.where_given(prints, **scope).where(met & (F.col("symbol_id") != seed)).withColumn("distance", d)
-    x = R.first_per(x, ["symbol_id"], "distance").orderBy("distance", "symbol_id").limit(candidates)
+    x = R.first_per(x, ["symbol_id"], "distance")
+    if candidates is not None:
+        x = x.orderBy("distance", "symbol_id").limit(candidates)
+    if at_home:
+        same = R.where_given(symbols, kind=at_home[0]["kind"], language=at_home[0]["language"]).select("symbol_id").distinct()
+        x = x.join(same, "symbol_id", "left_semi")
     if terms:
         x = x.join(snippets.groupBy("symbol_id").agg(F.max("text").alias("text")), "symbol_id").where(T.all_terms_in(F.array(*[F.lit(t) for t in terms]), "text"))
-    return x.select("symbol_id", "distance", (1 - F.col("distance") / 64.0).alias("score")).orderBy("distance", "symbol_id").limit(k), None
+    x = x.select("symbol_id", "distance", (1 - F.col("distance") / 64.0).alias("score")).orderBy("distance", "symbol_id")
+    return (x.limit(k) if k is not None else x), None

@@ -40,6 +40,11 @@ cyclic AS (SELECT DISTINCT key FROM up WHERE key = above),
 ring AS (SELECT u.key, min(i.id) AS root FROM up u JOIN cyclic c ON c.key = u.above JOIN node i ON i.key = c.key GROUP BY 1)
 """
 SQL = {
+    # Up from every node, each ancestor once: round a cycle the walk ends where it would come to a node again.
+    "p1_descendants": _LATEST.split(",\nwalk AS")[0]
+    + """, climb AS (SELECT key, parent AS above, 1 AS distance, [key, parent] AS seen FROM node WHERE parent IS NOT NULL AND parent <> key
+  UNION ALL SELECT c.key, n.parent, c.distance + 1, list_append(c.seen, n.parent) FROM climb c JOIN node n ON n.key = c.above WHERE n.parent IS NOT NULL AND NOT list_contains(c.seen, n.parent))
+SELECT a.id AS ancestor_id, d.id AS descendant_id, CAST(c.distance AS INTEGER) AS distance FROM climb c JOIN node a ON a.key = c.above JOIN node d ON d.key = c.key""",
     "p1_found": _LATEST
     + "SELECT id AS symbol_id, root AS root_id, CAST(depth AS INTEGER) AS depth FROM walk UNION ALL SELECT l.id, r.root, CAST(CASE WHEN c.key IS NULL THEN -2 ELSE -1 END AS INTEGER) FROM lost l JOIN ring r ON r.key = l.key LEFT JOIN cyclic c ON c.key = l.key",
     "p1_paths": _LATEST

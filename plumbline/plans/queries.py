@@ -11,7 +11,7 @@ from ..functions import sketch, vector
 from ..functions import text as T
 from ..operators import graph, indexing, jobs, search, stats
 from ..operators import relational as R
-from ..runtime import new_path, table
+from ..runtime import new_path, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,7 +37,11 @@ _EDGES = """edges AS (
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges between parts: consecutive lines of an order."""
+    """Edges between parts, stored once: consecutive lines of an order."""
+    return stored(spark, f"edges of {d}", lambda: _edges(spark, d))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     a = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     b = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("to"))
@@ -372,8 +376,8 @@ def identifier_tokens(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT query_id, list_filter(list_transform(regexp_split_to_array(query_text, '[^\\p{L}\\p{N}_]+'), lambda t: lower(t)), lambda t: length(t) > 2 AND NOT list_contains(['the','a','an','and','or','but','in','on','at','to','for','of','with','by','from','as','is','was','are','were','be','been','being','have','has','had','do','does','did','will','would','should','could','may','might','can','find','show','where','what','how','why','when','who'], t)) AS w FROM search_rows WHERE query_text IS NOT NULL)
-SELECT DISTINCT query_id, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i), ' ') AS keywords FROM w"""
+    """WITH w AS (SELECT query_id, list_filter(list_transform(regexp_split_to_array(query_text, '[^\\p{L}\\p{N}_]+'), lambda t: lower(t)), lambda t: length(t) > 2 AND NOT list_contains([{stop}], t)) AS w FROM search_rows WHERE query_text IS NOT NULL)
+SELECT DISTINCT query_id, array_to_string(list_filter(w, lambda t, i: list_position(w, t) = i), ' ') AS keywords FROM w""".replace("{stop}", ",".join(f"'{w}'" for w in T.STOP_WORDS))
 )
 def query_keywords(spark, d):
     return table(spark, d, "search_rows").where("query_text is not null").select("query_id", _text(T.keywords("query_text")).alias("keywords")).distinct()
@@ -489,11 +493,15 @@ h AS (SELECT doc_id, token, sum(w) AS s FROM p WHERE token IN ('stored', 'vector
 SELECT doc_id, round(sum(s), 6) AS score FROM h GROUP BY 1 HAVING count(*) = 2"""
 
 
+def _postings(spark, d):
+    docs = table(spark, d, "documents").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("source").alias("source"))
+    return search.postings(docs, "doc_id", {"text": ("text", "D"), "source": ("source", "A")})
+
+
 @query(_FAST)
 def fast_search(spark, d):
     """Weighted keyword search over documents: all terms, by label weights."""
-    docs = table(spark, d, "documents").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("source").alias("source"))
-    posting = search.postings(docs, "doc_id", {"text": ("text", "D"), "source": ("source", "A")})
+    posting = stored(spark, f"document postings of {d}", lambda: _postings(spark, d), "token")
     return search.weighted(posting, "doc_id", ["stored", "vectors"])
 
 
@@ -560,12 +568,12 @@ def similar_symbols(spark, d):
 
 @query(f"WITH {_EDGES}, {_PARTS} SELECT e.source_id, p.name, e.kind, p.file_path, e.line FROM edges e JOIN parts p ON p.id = e.source_id WHERE e.target_id = '1'")
 def find_references(spark, d):
-    return graph.references(edges(spark, d), parts(spark, d), "1", k=1_000_000)
+    return graph.references(edges(spark, d), parts(spark, d), "1", k=None)
 
 
 @query(f"WITH {_EDGES} SELECT target_id, kind, line FROM edges WHERE source_id = '1' AND kind = 'Calls'")
 def find_dependencies(spark, d):
-    return graph.dependencies(edges(spark, d), "1", "Calls", k=1_000_000)
+    return graph.dependencies(edges(spark, d), "1", "Calls", k=None)
 
 
 @query(

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the session has none."""
+    """The folder of spark.checkpoint.dir; a temporary one is set only for a local session that has none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         _made.add(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -66,6 +69,22 @@ def cut_counted(df: DataFrame, what: str = "cut", path: str | None = None) -> tu
     return spark.read.schema(df.schema).parquet(path), int(seen.get["n"] or 0)
 
 
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
+    """A table built once per session and name, as an index is: written to the shared folder, with `by` in its order, so that filters on it skip row groups."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _stored:
+        df = build()
+        if by:
+            df = df.repartitionByRange(partitions(spark), by).sortWithinPartitions(by)
+        path = new_path(spark, "stored")
+        df.write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a place made by new_path."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

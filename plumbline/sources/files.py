@@ -21,7 +21,7 @@ def tree(spark: SparkSession, root: str, repo_id: str, branch_name: str, commit_
     x = x.withColumn("file_path", path)
     if exclude:
         x = x.where(~F.col("file_path").rlike(exclude))
-    binary = F.locate("00", F.regexp_replace(F.hex(F.substring("content", 1, 8000)), "(..)", "$1 ")) > 0
+    binary = F.decode("content", "ISO-8859-1").contains("\x00")  # of the whole file, a character a byte
     text = F.when(~F.coalesce(binary, F.lit(False)), F.decode("content", "UTF-8"))
     return x.select(F.lit(repo_id).alias("repo_id"), F.lit(branch_name).alias("branch_name"), F.lit(commit_sha).alias("commit_sha"), "file_path", F.col("length").alias("size_bytes"), F.sha1("content").alias("digest"), text.alias("content"))
 

@@ -30,9 +30,22 @@ def test_tokens(spark):
     assert one(spark, T.tokens(F.lit(None).cast("string"))) == []
 
 
+def _fnv(token):
+    h = sketch.OFFSET
+    raw = token.encode("utf-16-le")
+    for i in range(0, len(raw), 2):
+        h = (h ^ (raw[i] | raw[i + 1] << 8)) * sketch.PRIME % (1 << 64)
+    return h
+
+
 def test_sketch(spark):
-    assert sketch._signed(sketch.fnv("user")) == 9036332894136256754
-    assert sketch._signed(sketch.fnv("service")) == -3731265738799406460
+    known = {"user": 9036332894136256754, "service": -3731265738799406460}
+    assert dict(zip(known, sketch.fnv_all(list(known)).view("int64").tolist())) == known
+    tokens = ["", "a", "größe", "x" * 300, "\U0001f600z", "user"]
+    assert sketch.fnv_all(tokens).tolist() == [_fnv(t) for t in tokens] and sketch.fnv_all([]).tolist() == []
+    bags = [["a", "b", "a"], None, [], ["user"], [f"t{i}" for i in range(999)]]
+    votes = [sum(1 << i for i in range(64) if b and 2 * sum(_fnv(t) >> i & 1 for t in b) > len(b)) for b in bags]
+    assert sketch.simhash_all(bags).view("uint64").tolist() == votes
     df = spark.createDataFrame([(["user", "service", "login"],), (["user", "service", "login"],), (["user", "service", "logout"],), ([],)], "t array<string>")
     fp = [r[0] for r in df.select(sketch.simhash("t")).collect()]
     assert fp[0] == fp[1] != fp[2] and fp[3] == 0
