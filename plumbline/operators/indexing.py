@@ -10,30 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import sketch
 from ..functions import text as T
+from . import extract
 from . import relational as R
 
 #: Lines of context around a symbol's chunk, its most characters, and most characters of an indexed file.
 CONTEXT, CHUNK_CHARS, FILE_CHARS = 5, 30_000, 1_500_000
 SCOPE = ["repo_id", "branch_name", "commit_sha", "file_path"]
 
-# Patterns by language: kind, pattern with the name and, for functions, the arguments.
-PATTERNS = {
-    "Python": [("Class", r"^\s*class\s+(\w+)"), ("Function", r"^\s*(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\)")],
-    "JavaScript": [("Class", r"\bclass\s+(\w+)"), ("Function", r"\bfunction\s+(\w+)\s*\(([^)]*)\)"), ("Function", r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>)()")],
-    "Java": [("Class", r"^\s*(?:(?:public|private|protected)\s+)?(?:abstract\s+)?(?:final\s+)?class\s+(\w+)"), ("Method", r"^\s*(?:(?:public|private|protected)\s+)?(?:static\s+)?(?:final\s+)?\w+\s+(\w+)\s*\(([^)]*)\)")],
-    "Go": [("Struct", r"\btype\s+(\w+)\s+struct\b"), ("Function", r"\bfunc\s+(?:\([^)]+\)\s+)?(\w+)\s*\(([^)]*)\)")],
-    "Rust": [("Struct", r"\bstruct\s+(\w+)"), ("Function", r"\bfn\s+(\w+)\s*\(([^)]*)\)")],
-    "CSharp": [
-        ("Class", r"^\s*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*class\s+(\w+)"),
-        ("Interface", r"^\s*(?:(?:public|private|protected|internal|partial)\s+)*interface\s+(\w+)"),
-        ("Struct", r"^\s*(?:(?:public|private|protected|internal|readonly|partial|ref)\s+)*struct\s+(\w+)"),
-        ("Enum", r"^\s*(?:(?:public|private|protected|internal)\s+)*enum\s+(\w+)"),
-        ("Method", r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed)\s+)+[\w<>\[\],.?]+\s+(\w+)\s*(?:<[^>]*>)?\(([^)]*)\)"),
-    ],
-}
-PATTERNS["TypeScript"] = PATTERNS["JavaScript"]
-PATTERNS["JavaScriptReact"] = PATTERNS["TypeScriptReact"] = PATTERNS["JavaScript"]
-
 
 def indexable(files: DataFrame, most: int = FILE_CHARS) -> DataFrame:
     """Files with text, no NUL in it, not over the size limit, in a language that is indexed."""
@@ -43,22 +26,15 @@ def indexable(files: DataFrame, most: int = FILE_CHARS) -> DataFrame:
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """Symbols by the language's line patterns: one line each, with a signature for functions."""
-    lines = files.where(F.col("language").isin(*PATTERNS)).select(*SCOPE, "language", F.posexplode(F.split("content", "\r?\n", -1)).alias("at", "line"))
-    found: Column = F.array().cast("array<struct<kind:string,name:string,arguments:string>>")
-    for lang, patterns in PATTERNS.items():
-        here = []
-        for kind, p in patterns:
-            args = F.regexp_extract("line", p, 2) if "()" in p or p.count("(") - p.count("(?") - p.count(r"\(") > 1 else F.lit(None).cast("string")
-            here.append(F.when(F.col("line").rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("line", p, 1).alias("name"), args.alias("arguments"))))
-        found = F.when(F.col("language") == lang, F.array_compact(F.array(*here))).otherwise(found)
-    x = lines.withColumn("s", F.explode(found)).select(*SCOPE, "language", (F.col("at") + 1).alias("start_line"), "line", "s.*").where("name <> ''")
-    keyword = F.col("name").isin("if", "for", "while", "switch", "catch", "return", "new", "foreach", "using", "lock")
-    method = (F.col("language") == "Python") & (F.col("kind") == "Function") & F.col("line").rlike(r"^\s")
-    both = (F.col("language") == "Java") & (F.col("kind") == "Method") & F.col("line").contains("class ")
-    x = x.where(~keyword & ~both).withColumn("kind", F.when(method, F.lit("Method")).otherwise(F.col("kind")))
-    signature = F.when(F.col("arguments").isNotNull(), F.concat("name", F.lit("("), "arguments", F.lit(")")))
-    return x.select(F.sha1(F.concat_ws("|", *SCOPE, "kind", "name", "start_line")).alias("id"), *SCOPE, "language", "kind", "name", "start_line", F.col("start_line").alias("end_line"), F.lit(1).alias("start_column"), F.length("line").alias("end_column"), signature.alias("signature"))
+    """Symbols of the files by their languages' grammars, with edges (kind, target as written, line)."""
+    x = files.where(F.col("language").isin(*extract.LANGUAGES)).select(*SCOPE, "language", "content")
+    return x.mapInPandas(extract.rows, extract.SCHEMA)
+
+
+def edges_of(syms: DataFrame) -> DataFrame:
+    """The edges of extracted symbols, to be resolved: edge_id, source_id, target, kind, line, repo_id, branch_name."""
+    e = syms.select(F.col("id").alias("source_id"), "repo_id", "branch_name", F.posexplode("edges").alias("at", "e")).select("source_id", "repo_id", "branch_name", "at", "e.*")
+    return e.select(F.sha1(F.concat_ws("|", "source_id", "at")).alias("edge_id"), "source_id", "target", "kind", "line", "repo_id", "branch_name")
 
 
 def search_entries(syms: DataFrame, snippet: str = "snippet") -> DataFrame:
@@ -76,19 +52,35 @@ def fingerprints(entries: DataFrame) -> DataFrame:
 
 
 def chunks(syms: DataFrame, files: DataFrame, context: int = CONTEXT, most: int = CHUNK_CHARS) -> DataFrame:
-    """A chunk per symbol of a chunked kind: its lines with context, without it if over the limit, then cut; one per range of lines."""
-    x = syms.where(F.col("kind").isin(*T.CHUNKED_KINDS)).join(files.select(*SCOPE, "content"), SCOPE)
-    lines = F.split("content", "\n", -1)
-    n = F.size(lines)
-    first, last = F.greatest(F.col("start_line") - context, F.lit(1)), F.least(F.greatest("end_line", "start_line") + context, n)
-    x = x.withColumns({"chunk_start_line": first, "chunk_end_line": last}).withColumn("wide", F.array_join(F.slice(lines, F.col("chunk_start_line"), F.col("chunk_end_line") - F.col("chunk_start_line") + 1), "\n"))
-    big = F.length("wide") > most
-    x = x.withColumns({"chunk_start_line": F.when(big, F.col("start_line")).otherwise(F.col("chunk_start_line")), "chunk_end_line": F.when(big, F.least(F.greatest("end_line", "start_line"), n)).otherwise(F.col("chunk_end_line"))})
-    text = F.array_join(F.slice(lines, F.col("chunk_start_line"), F.col("chunk_end_line") - F.col("chunk_start_line") + 1), "\n")
-    x = x.withColumn("content", F.substring(text, 1, most))
-    x = R.first_per(x, ["repo_id", "branch_name", "file_path", "chunk_start_line", "chunk_end_line"], "start_line", "id")
-    name = F.coalesce("qualified_name", "name") if "qualified_name" in syms.columns else F.col("name")
-    return x.select(F.sha1(F.concat_ws("|", "id", "chunk_start_line", "chunk_end_line")).alias("id"), *SCOPE, F.col("id").alias("symbol_id"), name.alias("symbol_name"), F.col("kind").alias("symbol_kind"), "language", "content", "start_line", "end_line", "chunk_start_line", "chunk_end_line", T.token_estimate("content").alias("token_count"))
+    """A chunk per symbol of a chunked kind: its lines with context, without it if over the limit, then cut; one per range of lines.
+
+    A file meets its symbols gathered in one row, so its text is joined and split once, and ranges are deduplicated before texts are cut.
+    """
+    names = dict.fromkeys(syms.columns)
+    parent = F.col("parent_symbol_id") if "parent_symbol_id" in names else F.lit(None).cast("string")
+    own = F.coalesce("qualified_name", "name") if "qualified_name" in names else F.col("name")
+    wanted = syms.where(F.col("kind").isin(*T.CHUNKED_KINDS))
+    above = syms.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_symbol_name"))
+    x = wanted.withColumn("parent_id", parent).join(above, "parent_id", "left")
+    s = F.struct("start_line", "id", F.greatest("end_line", "start_line").alias("end_line"), own.alias("symbol_name"), F.col("kind").alias("symbol_kind"), "parent_symbol_name", "signature")
+    x = x.groupBy(*SCOPE).agg(F.sort_array(F.collect_list(s)).alias("symbols"))  # one file's symbols
+    x = x.join(files.select(*SCOPE, "language", "content"), SCOPE).withColumn("lines", F.split("content", "\n", -1)).drop("content")
+    n = F.size("lines")
+    part = lambda a, b: F.array_join(F.slice("lines", a, b - a + 1), "\n")
+
+    def ranged(s: Column) -> Column:
+        a, b = F.greatest(s["start_line"] - context, F.lit(1)), F.least(s["end_line"] + context, n)
+        big = F.length(part(a, b)) > most
+        return s.withField("a", F.when(big, s["start_line"]).otherwise(a)).withField("b", F.when(big, F.least(s["end_line"], n)).otherwise(b))
+
+    x = x.withColumn("symbols", F.transform("symbols", ranged))
+    seen = F.transform("symbols", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
+    x = x.withColumn("seen", seen)
+    x = x.withColumn("symbols", F.filter("symbols", lambda s, i: F.array_position("seen", F.struct(s["a"].alias("a"), s["b"].alias("b"))) == i + 1))  # the first of a range
+    x = x.withColumn("symbols", F.transform("symbols", lambda s: s.withField("content", F.left(part(s["a"], s["b"]), F.lit(most)))))
+    x = x.select(*SCOPE, "language", F.explode("symbols").alias("s")).select(*SCOPE, "language", "s.*")
+    key = F.sha1(F.concat_ws("|", "id", "a", "b"))
+    return x.select(key.alias("id"), *SCOPE, F.col("id").alias("symbol_id"), "symbol_name", "symbol_kind", "language", "content", "start_line", "end_line", F.col("a").alias("chunk_start_line"), F.col("b").alias("chunk_end_line"), T.token_estimate("content").alias("token_count"), "parent_symbol_name", "signature")
 
 
 def resolve_edges(edges: DataFrame, batch: DataFrame, stored: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import sketch, vector
 from ..functions import text as T
 from ..operators import graph, indexing, jobs, search, stats
 from ..operators import relational as R
-from ..runtime import new_path, stored, table
+from ..runtime import cut, new_path, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,6 +77,26 @@ def _text(c: Column | str) -> Column:
     return F.array_join(c, " ")
 
 
+_KEYWORDS = ",".join(f"'{w}'" for w in T.CSHARP_KEYWORDS)
+
+
+def _identifiers(c: str) -> str:
+    """The parts of a text's identifiers in SQL: of its first characters, without keywords and numbers, up to a number of them."""
+    words = f"list_filter(regexp_extract_all(substring(coalesce({c}, ''), 1, 4000), '[A-Za-z_][A-Za-z0-9_]*'), lambda w: lower(w) NOT IN ({_KEYWORDS}))"
+    parts = f"flatten(list_transform({words}, lambda w: {_once(_tok('w'))}))"
+    return f"list_slice(list_filter({parts}, lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^[0-9]+$') AND t NOT IN ({_KEYWORDS})), 1, 256)"
+
+
+def _simhash_sql(key: str, bags: str) -> str:
+    """SimHash in SQL: bags is a query of the key and a list of tokens tk; hashes by folding characters in 128 bits."""
+    fold = f"list_reduce(list_prepend({sketch.OFFSET}::HUGEINT, list_transform(string_split(token, ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (xor(h, c) * {sketch.PRIME}::HUGEINT) % 18446744073709551616::HUGEINT)"
+    signed = "CAST(CASE WHEN f >= 9223372036854775808::HUGEINT THEN f - 18446744073709551616::HUGEINT ELSE f END AS BIGINT)"
+    return f"""bags AS ({bags}), tok AS (SELECT {key}, unnest(tk) AS token FROM bags), hashed AS (SELECT token, {fold} AS h FROM (SELECT DISTINCT token FROM tok)),
+bits AS (SELECT {key}, b, sum(CASE WHEN (h >> b::INTEGER) & 1::HUGEINT = 1 THEN 1 ELSE -1 END) AS v FROM tok JOIN hashed USING (token), (SELECT unnest(range(64)) AS b) GROUP BY ALL),
+prints AS (SELECT {key}, sum(CASE WHEN v > 0 THEN 1::HUGEINT << b::INTEGER ELSE 0::HUGEINT END) AS f FROM bits GROUP BY 1),
+signed AS (SELECT g.{key}, coalesce({signed}, 0) AS fingerprint FROM (SELECT DISTINCT {key} FROM bags) g LEFT JOIN prints p ON p.{key} IS NOT DISTINCT FROM g.{key})"""
+
+
 # -- scans, filters, projections ------------------------------------------------------------------------------
 
 
@@ -370,7 +390,7 @@ def tokenize_names(spark, d):
     return table(spark, d, "symbols").select("id", _text(T.tokens("name")).alias("tokens")).distinct()
 
 
-@query()
+@query(f"SELECT DISTINCT id, array_to_string({_identifiers('content')}, ' ') AS tokens FROM code_chunks")
 def identifier_tokens(spark, d):
     return table(spark, d, "code_chunks").select("id", _text(T.identifier_tokens("content")).alias("tokens")).distinct()
 
@@ -383,7 +403,10 @@ def query_keywords(spark, d):
     return table(spark, d, "search_rows").where("query_text is not null").select("query_id", _text(T.keywords("query_text")).alias("keywords")).distinct()
 
 
-@query()
+@query(
+    f"""SELECT DISTINCT query_id, array_to_string({_once("list_filter(regexp_extract_all(query_text, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)*|[a-z]+(?:_[a-z]+)+)\\b', 1), lambda w: length(w) > 2)")}, ' ') AS names,
+array_to_string({_once("regexp_extract_all(query_text, '\\b[\\w/\\\\]+\\.\\w+\\b')")}, ' ') AS paths FROM search_rows"""
+)
 def query_symbol_names(spark, d):
     return table(spark, d, "search_rows").select("query_id", _text(T.symbol_names("query_text")).alias("names"), _text(T.file_paths("query_text")).alias("paths")).distinct()
 
@@ -412,7 +435,14 @@ def name_parts(spark, d):
     return table(spark, d, "symbols").where("qualified_name is not null").select("id", T.normalize_qualified("qualified_name").alias("base"), T.simple_name("qualified_name").alias("simple")).distinct()
 
 
-@query()
+def _canonical_sql(c: str) -> str:
+    """Special types in full: what must not come before a name is matched with it and put back."""
+    for name, full in T.SPECIAL_TYPES.items():
+        c = f"regexp_replace(regexp_replace({c}, '\\bSystem\\.{name}\\b', '{full}', 'g'), '(^|[^.A-Za-z0-9_]){name}\\b', '\\1{full}', 'g')"
+    return c
+
+
+@query(f"SELECT DISTINCT id, {_canonical_sql('signature')} AS signature FROM symbols WHERE language = 'CSharp' AND signature IS NOT NULL")
 def canonical_signatures(spark, d):
     return table(spark, d, "symbols").where("language = 'CSharp' and signature is not null").select("id", T.canonical_types("signature").alias("signature")).distinct()
 
@@ -423,13 +453,13 @@ def band_split(spark, d):
     return table(spark, d, "symbol_fingerprints").where("fingerprint is not null").select("symbol_id", "fingerprint", b[0].alias("low"), b[1].alias("next")).distinct()
 
 
-@query()
+@query(f"WITH {_simhash_sql('token_', 'SELECT DISTINCT unnest(' + _tok('name') + ') AS token_, [unnest(' + _tok('name') + ')] AS tk FROM symbols')} SELECT token_ AS token, fingerprint AS hash FROM signed")
 def fnv_hashes(spark, d):
     names = table(spark, d, "symbols").select(F.explode(T.tokens("name")).alias("token")).distinct()
     return names.select("token", sketch.fnv1a64("token").alias("hash"))
 
 
-@query()
+@query(f"WITH {_simhash_sql('doc_id', 'SELECT DISTINCT doc_id, ' + _tok('text') + ' AS tk FROM documents')} SELECT doc_id, fingerprint FROM signed")
 def document_sketches(spark, d):
     return table(spark, d, "documents").select("doc_id", sketch.simhash(T.all_tokens("text")).alias("fingerprint")).distinct()
 
@@ -535,7 +565,13 @@ def bm25_scores(spark, d):
     return search.bm25(docs, "doc_id", "text", ["search", "index"])
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT DISTINCT id, {_words('content')} AS w FROM code_chunks), f AS (SELECT id AS chunk_id, max(round(len(list_filter(w, lambda x: x IN ('await', 'throw'))) / (1 + ln(1.0e0 + len(w))), 6)) AS b FROM c WHERE list_contains(w, 'await') AND list_contains(w, 'throw') GROUP BY 1),
+v AS (SELECT id, chunk_id, CAST(vector AS DOUBLE[]) AS x FROM chunk_vectors WHERE model = 'tern-code-128' AND len(vector) = 128 AND len(list_filter(vector, lambda y: y IS NULL OR isnan(y))) = 0 AND len(list_filter(vector, lambda y: y <> 0)) > 0),
+q AS (SELECT x AS q FROM v ORDER BY id LIMIT 1), d AS (SELECT v.id, v.chunk_id, round(1 - list_cosine_similarity(v.x, q.q), 6) AS d FROM v, q WHERE v.chunk_id IN (SELECT id FROM c) ORDER BY d, v.id LIMIT 40),
+n AS (SELECT chunk_id, max(1 - d) AS s FROM d GROUP BY 1)
+SELECT coalesce(f.chunk_id, n.chunk_id) AS chunk_id, coalesce(b, 0) AS bm25_score, coalesce(s, 0) AS vector_score, round(0.3e0 * coalesce(b, 0) + 0.7e0 * coalesce(s, 0), 6) AS score FROM f FULL JOIN n ON f.chunk_id = n.chunk_id ORDER BY score DESC, 1 LIMIT 20"""
+)
 def hybrid_search(spark, d):
     """Full text and vectors of chunks fused; the query vector is that of the first chunk with one."""
     v = table(spark, d, "chunk_vectors").where("model = 'tern-code-128' and size(vector) = 128 and exists(vector, x -> x <> 0) and forall(vector, x -> x is not null and not isnan(x))")
@@ -629,7 +665,17 @@ def _sources(spark, d):
 
 @query()
 def extract_symbols(spark, d):
-    return indexing.symbols(indexing.indexable(_sources(spark, d)))
+    return indexing.symbols(indexing.indexable(_sources(spark, d))).drop("edges")
+
+
+@query()
+def extract_edges(spark, d):
+    """Edges of the C# chunks, each taken as a file, resolved against the symbols of all of them."""
+    c = table(spark, d, "code_chunks").where("language = 'CSharp' and content is not null").groupBy("id").agg(F.max(F.struct("created_at", "repo_id", "branch_name", "commit_sha", "content")).alias("c"))
+    s = indexing.symbols(c.select("c.repo_id", "c.branch_name", "c.commit_sha", F.concat("id", F.lit(".cs")).alias("file_path"), F.lit("CSharp").alias("language"), "c.content"))
+    s = cut(s, "symbols")  # read for both sides
+    e = indexing.edges_of(s)
+    return indexing.resolve_edges(e, s, s.limit(0)).join(e.select("edge_id", "kind", "line"), "edge_id").select("edge_id", "source_id", "kind", "line", "target", "target_id", "step")
 
 
 @query()
@@ -638,7 +684,11 @@ def chunk_windows(spark, d):
     return indexing.chunks(indexing.symbols(f), f)
 
 
-@query()
+@query(
+    f"""WITH l AS (SELECT id, arg_max(struct_pack(name := name, qualified_name := qualified_name, signature := signature, documentation := documentation), indexed_at) AS x FROM symbols GROUP BY 1),
+{_simhash_sql('symbol_id', f"SELECT id AS symbol_id, list_concat({_once(_tok('x.name'))}, {_once(_tok('x.qualified_name'))}, {_once(_tok('x.signature'))}, {_once(_tok('x.documentation'))}, {_identifiers('x.signature')}) AS tk FROM l")}
+SELECT symbol_id, fingerprint, CAST(fingerprint & 65535 AS INTEGER) AS band0, CAST((fingerprint >> 16) & 65535 AS INTEGER) AS band1, CAST((fingerprint >> 32) & 65535 AS INTEGER) AS band2, CAST((fingerprint >> 48) & 65535 AS INTEGER) AS band3 FROM signed"""
+)
 def symbol_sketches(spark, d):
     s = table(spark, d, "symbols").groupBy("id").agg(F.max(F.struct("indexed_at", "name", "qualified_name", "signature", "documentation")).alias("s")).select("id", "s.*").withColumn("snippet", F.col("signature"))
     return indexing.fingerprints(indexing.search_entries(s))

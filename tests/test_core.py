@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import sketch
 from plumbline.functions import text as T
 from plumbline.functions import vector as V
-from plumbline.operators import graph, indexing, intent, jobs, response, search, stats
+from plumbline.operators import extract, graph, indexing, intent, jobs, orchestrator, response, search, stats
 from plumbline.operators import relational as R
 from plumbline.plans import queries
 from plumbline.sources import config, embeddings, files
@@ -140,6 +140,113 @@ def test_index(spark):
     assert {(r[0], r[1], r[2]) for r in indexing.tree_diff(old, new).collect()} == {("b", "Modified", None), ("d", "Renamed", "c"), ("e", "Added", None)}
 
 
+CSHARP = '''using System;
+namespace My.Services
+{
+    /// <summary>Does work.</summary>
+    [Serializable]
+    public class Outer : Base, IWorker
+    {
+        private readonly IClock _clock;
+        private DateTime _when = DateTime.Now, _then;
+        public string Name { get; set; } = "a { b";
+        public List<int> Items { get; }
+        public Outer(IClock clock, int n = 3) { _clock = clock; Init(n); }
+        public class Inner { public void M(int a) { } public T Echo<T>(T x) { return x; } }
+        /* } */ public async Task<List<string>> Run(string name)
+        {
+            var y = new Foo(1);
+            if (name == "hello } world") { _clock.Tick(); Work(); }
+            return this.Load(y);
+        }
+        public void Work() => Hidden();
+    }
+    public interface IWorker { void Work(); }
+    public enum Color { Red, Green }
+}
+'''
+
+
+def test_csharp_symbols_and_edges(spark):
+    got = {s.qualified: s for s in extract.extract("CSharp", CSHARP)}
+    o = "My.Services.Outer"
+    assert set(got) == {"My.Services", o, f"{o}._clock", f"{o}._when", f"{o}._then", f"{o}.Name", f"{o}.Items", f"{o}.Outer(IClock,System.Int32)", f"{o}.Inner", f"{o}.Inner.M(System.Int32)", f"{o}.Inner.Echo<T>(T)", f"{o}.Run(System.String)", f"{o}.Work()", "My.Services.IWorker", "My.Services.IWorker.Work()", "My.Services.Color"}
+    edges = {q: [(k, t) for k, t, _ in s.edges] for q, s in got.items()}
+    assert edges[o] == [("Inherits", "Base"), ("Implements", "My.Services.IWorker")] and got[o].documentation == "Does work."
+    assert edges[f"{o}._clock"] == [("TypeOf", "IClock")] and edges[f"{o}._when"] == [("TypeOf", "DateTime")] and edges[f"{o}.Name"] == [] and edges[f"{o}.Items"] == [("TypeOf", "List<System.Int32>")]
+    assert edges[f"{o}.Outer(IClock,System.Int32)"] == [("TypeOf", "IClock"), ("Calls", "Init")]
+    assert edges[f"{o}.Run(System.String)"] == [("Returns", "Task<List<System.String>>"), ("Calls", "_clock.Tick"), ("Calls", f"{o}.Work()"), ("Calls", "Load")] and edges[f"{o}.Work()"] == []
+    assert got[f"{o}.Run(System.String)"].literals == ["hello", "world"] and got[f"{o}.Inner.M(System.Int32)"].parent is got[f"{o}.Inner"]
+    for broken in ("", "}}}", "class A {", "namespace X; class B { int", 'var s = "', "class A { void M( { }"):
+        extract.extract("CSharp", broken)
+    f = spark.createDataFrame([("r", "b", "s", "a.cs", CSHARP)], "repo_id string, branch_name string, commit_sha string, file_path string, content string")
+    s = indexing.symbols(indexing.indexable(f))
+    assert s.count() == len(got) and {r["name"]: r["end_line"] for r in s.collect()}["Run"] == 19
+    resolved = {(r["target"], r["step"]) for r in indexing.resolve_edges(indexing.edges_of(s), s, s.limit(0)).collect()}
+    assert ("My.Services.IWorker", "batch exact") in resolved and (f"{o}.Work()", "batch exact") in resolved and ("Load", "unresolved") in resolved
+    c = {r["symbol_name"]: r for r in indexing.chunks(s, indexing.indexable(f), context=0).collect()}
+    assert c[f"{o}.Run(System.String)"]["parent_symbol_name"] == "Outer" and c[f"{o}.Run(System.String)"]["content"].endswith("        }")
+
+
+@pytest.mark.parametrize(
+    "language,text,want",
+    [
+        ("Python", 'class A:\n    async def run(self,\n            x=")"):\n        pass\n# def no():\ndef f(): pass\n', [("Class", "A", None), ("Method", "run", 'run(self, x=")")'), ("Function", "f", "f()")]),
+        ("TypeScript", "export class A<T> {}\nexport async function go<T>(a: T,\n b = 2) {}\nconst h = async (x) => x;\n// function no()\n", [("Class", "A", None), ("Function", "go", "go(a: T, b = 2)"), ("Function", "h", None)]),
+        ("Java", "public final class A {\n  @Override public <T> List<Map<String, T>> go(int a,\n    int b) { return new Foo(); }\n}\n", [("Class", "A", None), ("Method", "go", "go(int a, int b)")]),
+        ("Go", "type T[K any] struct {\n}\nfunc (s *T) Do(a int) {\n}\n", [("Struct", "T", None), ("Function", "Do", "Do(a int)")]),
+        ("Rust", "pub(crate) async fn go<T>(a: T) {}\npub struct S;\n", [("Function", "go", "go(a: T)"), ("Struct", "S", None)]),
+    ],
+)
+def test_declarations(language, text, want):
+    assert [(s.kind, s.name, s.signature) for s in extract.extract(language, text)] == want
+
+
+def test_intents():
+    for q, want in {
+        "what calls UserService": "Relations", "callers of Login": "Relations", "what does Login call": "Relations", "who uses the cache": "Relations", "dependencies of Parser": "Relations", "classes that Parser is extended by": "Relations", "call graph of Run": "Relations",
+        "explain the retry policy": "Documentation", "what is a ledger": "Documentation", "tell me about Router": "Documentation", "example for the parser": "Examples", "show me how to use Cache": "Examples",
+        "code that handles token expiry": "Search", "find validation logic": "Search", "token expiry": "Search", "find UserService": "Navigation", "where is login declared": "Navigation", "similar:abc x": "Similar",
+    }.items():
+        assert intent.detect(q) == want, q
+    assert intent.parse("callers of Login").incoming and intent.parse("who uses Cache").incoming and not intent.parse("what does Login call").incoming and not intent.parse("dependencies of Parser").incoming
+
+
+def _tables(spark):
+    symbols = [("1", "UserService", "N.UserService", "Class"), ("2", "Login", "N.UserService.Login", "Method"), ("3", "SignOff", "N.Gate.SignOff", "Method"), ("4", "TokenCache", "N.TokenCache", "Class")]
+    cols = "id string, name string, qualified_name string, kind string"
+    s = spark.createDataFrame(symbols, cols).withColumns({"repo_id": F.lit("r"), "branch_name": F.lit("b"), "file_path": F.concat("id", F.lit(".cs")), "language": F.lit("CSharp"), "start_line": F.lit(1), "signature": F.col("name")})
+    e = spark.createDataFrame([("1", "2", "Calls", "r", 5), ("3", "2", "Calls", "r", 3), ("2", "4", "TypeOf", "r", 1)], "source_id string, target_id string, kind string, repo_id string, line long")
+    p = search.postings(s.withColumnRenamed("id", "symbol_id"), "symbol_id", {"name": ("name", "A"), "qualified_name": ("qualified_name", "A")})
+    c = spark.createDataFrame([("c1", "who calls login here"), ("c2", "the login of users"), ("c3", "nothing")], "id string, content string").withColumns({"repo_id": F.lit("r"), "branch_name": F.lit("b"), "file_path": F.lit("x.cs"), "language": F.lit("CSharp"), "symbol_name": F.lit(None).cast("string"), "symbol_kind": F.lit(None).cast("string"), "start_line": F.lit(1)})
+    prints = spark.createDataFrame([(i, "r", "b", "CSharp", k, "f", fp, fp & 0xFFFF, 0, 0, 0) for i, k, fp in (("1", "Class", 0), ("4", "Class", 1), ("2", "Method", 3))], "symbol_id string, repo_id string, branch_name string, language string, kind string, fingerprint_kind string, fingerprint long, band0 int, band1 int, band2 int, band3 int")
+    return orchestrator.Tables(s, e, p, s.select(F.col("id").alias("symbol_id"), F.col("name").alias("snippet")), c, prints)
+
+
+def test_answers(spark):
+    t = _tables(spark)
+    rows = lambda q, **how: [(r["id"], r["type"], round(r["score"], 6)) for r in orchestrator.ask(t, q, **how).results.collect()]
+    assert rows("find TokenCache") == [("4", "symbol", 1.0)]
+    got = orchestrator.ask(t, "what calls Login").results.collect()
+    # Two callers in the order of their lines, mixed with their degrees; then chunks about it at half the score of text.
+    assert [(r["id"], r["type"]) for r in got[:3]] == [("2", "symbol"), ("3", "caller"), ("1", "caller")] and got[0]["score"] == pytest.approx(0.7 + 0.3 * (1 + 2 * 2) / 20) and {(r["relation"], r["name"]) for r in got[0]["related"]} == {("CalledBy_Calls", "UserService"), ("CalledBy_Calls", "SignOff"), ("TypeOf", "TokenCache")}
+    assert [(r["type"], r["score"]) for r in got[3:]] == [("semantic_context", 0.25)] * len(got[3:])
+    assert [r["type"] for r in orchestrator.ask(t, "dependencies of Login").results.collect()][0] == "symbol"
+    assert rows("login service")[0][0] == "2"
+    assert rows("login of users", profile="Hybrid")[0] == ("c2", "code_chunk", 0.5)
+    assert rows("similar:1") == [("4", "symbol", round(1 - 1 / 64, 6))] and rows("similar:1 nothing") == []
+    errors = {q: orchestrator.ask(t, q, **how).error for q, how in (("similar: ", {}), ("similar:zz", {}), ("similar:3", {}), ("similar:1", {"repo": "other"}))}
+    assert list(errors.values())[:3] == ["seed_missing", "seed_not_found", "seed_fingerprint_missing"] and errors["similar:1"] == "seed_scope_mismatch"
+    assert rows("find TokenCache", repo="other") == [] and rows("") == []
+
+
+def test_model_resolution(spark):
+    v = spark.createDataFrame([("r", "m1", [1.0, 2.0]), ("r", "m2", [1.0, 2.0, 3.0]), ("q", "m1", [1.0, 2.0])], "repo_id string, model string, vector array<float>")
+    r = orchestrator.resolve_model
+    assert r(v, 2, configured="M1") == ("m1", None) and r(v, 2, explicit="m2", configured="m1") == (None, "embedding_dims_mismatch")
+    assert r(v, 2) == (None, "embedding_model_ambiguous") and r(v, 2, repo_id="q") == ("m1", None) and r(v, 2, explicit="zz") == (None, "embedding_model_not_found") and r(v.limit(0), 2) == (None, "embedding_model_not_found")
+
+
 def test_edges_cascade(spark):
     cols = "id string, repo_id string, branch_name string, name string, qualified_name string, parent_symbol_id string"
     batch = spark.createDataFrame([("1", "r", "b", "M", "N.C.M(int)", "p"), ("2", "r", "b", "K", "N.C.K()", "p"), ("3", "r", "b", "L", "N.C.L(int)", "q"), ("4", "r", "b", "L", "N.C.L(str)", "q")], cols)
