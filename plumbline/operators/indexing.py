@@ -110,6 +110,44 @@ def resolve_edges(edges: DataFrame, batch: DataFrame, stored: DataFrame) -> Data
     return x.where(F.col("target_id").isNotNull() | F.col("parent").isNotNull()).select("edge_id", "source_id", "target", F.coalesce("target_id", "target").alias("target_id"), "step")
 
 
+def reindex(tables: dict[str, DataFrame], changed: DataFrame, gone: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """tables: files, symbols, chunks, edges, entries, fingerprints as made here (those not given begin empty). changed: scope and content
+    of new and changed files; gone: repo_id, branch_name, file_path of deleted ones.
+
+    Everything of the changed and gone paths is replaced, in all tables, by what the changed files hold now; edges that
+    point at symbols no longer there stay as they are. The second result is one row of counters: files, parsed, skipped, deleted, symbols, edges.
+    """
+    key = ["repo_id", "branch_name", "file_path"]
+    lang = changed.withColumn("language", T.detect_language("file_path", "content"))
+    kept = indexable(changed)
+    syms = symbols(kept)
+    plain = syms.drop("edges")
+    own = edges_of(syms)
+    stored = tables.get("symbols")
+    names = lambda df: df.select("id", "repo_id", "branch_name", "name", "qualified_name", "parent_symbol_id")
+    found = resolve_edges(own, names(plain), names(stored) if stored is not None else names(plain).limit(0)).join(own.select("edge_id", "kind", "line"), "edge_id")
+    at = plain.select(F.col("id").alias("source_id"), *key)
+    new = {
+        "files": kept.select(*SCOPE, "language", F.octet_length("content").alias("size_bytes"), T.line_count("content").alias("line_count")),
+        "symbols": plain,
+        "chunks": chunks(plain, kept),
+        "edges": found.join(at, "source_id").select("edge_id", *key, "source_id", "target_id", "kind", "line", "step"),
+        "entries": search_entries(plain, "signature").join(plain.select(F.col("id").alias("symbol_id"), *key), "symbol_id"),
+    }
+    new["fingerprints"] = fingerprints(new["entries"]).join(plain.select(F.col("id").alias("symbol_id"), *key), "symbol_id")
+    paths = changed.select(*key) if gone is None else changed.select(*key).unionByName(gone.select(*key))
+    paths = paths.distinct()
+    out = {}
+    for name, df in new.items():
+        old = tables.get(name)
+        out[name] = R.delete_matching(old, paths, key).unionByName(df) if old is not None else df
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    report = counters(lang, "language", F.col("content").isNotNull() & (F.length("content") <= FILE_CHARS) & ~F.coalesce(F.col("content").contains("\x00"), F.lit(False)))
+    for df, name in ((gone.select(*key).distinct() if gone is not None else paths.limit(0), "deleted"), (plain, "symbols"), (found, "edges")):
+        report = report.crossJoin(F.broadcast(n(df, name)))  # one row each
+    return out, report
+
+
 def counters(files: DataFrame, language: str, fits: Column) -> DataFrame:
     """One row: files, those parsed, skipped for their language, and failed for what keeps them from being read (fits is false)."""
     wanted = T.is_indexed_language(language)

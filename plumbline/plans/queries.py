@@ -430,6 +430,17 @@ def detect_language(spark, d):
     return table(spark, d, "files").where("file_path is not null").select("file_path", T.detect_language("file_path").alias("detected")).distinct()
 
 
+@query(
+    "WITH h AS (SELECT DISTINCT file_id, lower(split_part(head, chr(10), 1)) AS l FROM file_heads WHERE head IS NOT NULL) SELECT file_id, CASE WHEN l NOT LIKE '#!%' THEN 'Unknown' "
+    + " ".join(f"WHEN contains(l, '{tool}') THEN '{lang}'" for tool, lang in T.INTERPRETERS.items())
+    + " ELSE 'Unknown' END AS detected FROM h"
+)
+def detect_by_content(spark, d):
+    """Languages of heads under a name without an ending, by their first lines."""
+    h = table(spark, d, "file_heads").where("head is not null").select("file_id", F.lower(F.substring_index("head", "\n", 1)).alias("l")).distinct()
+    return h.select("file_id", T.detect_language(F.lit("bin/tool"), "l").alias("detected"))
+
+
 @query("SELECT DISTINCT id, lower(trim(split_part(trim(qualified_name), '(', 1))) AS base, CASE WHEN list_extract(string_split(qualified_name, '.'), -1) = '' THEN qualified_name ELSE list_extract(string_split(qualified_name, '.'), -1) END AS simple FROM symbols WHERE qualified_name IS NOT NULL")
 def name_parts(spark, d):
     return table(spark, d, "symbols").where("qualified_name is not null").select("id", T.normalize_qualified("qualified_name").alias("base"), T.simple_name("qualified_name").alias("simple")).distinct()
@@ -548,11 +559,11 @@ def phrase_and_prefix(spark, d):
 
 
 @query(
-    f"""WITH t AS (SELECT DISTINCT id, {_words('content')} AS w FROM code_chunks), m AS (SELECT id, len(list_filter(w, lambda x: x IN ('await', 'throw'))) / (1 + ln(1.0e0 + len(w))) AS r FROM t WHERE list_contains(w, 'await') AND list_contains(w, 'throw'))
+    f"""WITH t AS (SELECT DISTINCT id, {_words('content')} AS w FROM code_chunks), m AS (SELECT id, len(list_filter(w, lambda x: x IN ('await', 'async'))) / (1 + ln(1.0e0 + len(w))) AS r FROM t WHERE list_contains(w, 'await') AND list_contains(w, 'async'))
 SELECT id, round(r, 6) AS rank FROM m"""
 )
 def full_text_chunks(spark, d):
-    return search.full_text(table(spark, d, "code_chunks").select("id", "content").distinct(), "id", "content", "await throw", None).select("id", "rank")
+    return search.full_text(table(spark, d, "code_chunks").select("id", "content").distinct(), "id", "content", "await async", None).select("id", "rank")
 
 
 @query(
@@ -587,15 +598,19 @@ def exact_name_search(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT symbol_id, repo_id, branch_name, language, kind, fingerprint_kind, fingerprint, band0, band1, band2, band3 FROM symbol_fingerprints ORDER BY symbol_id, fingerprint_kind, fingerprint LIMIT 1)
+    """WITH u AS (SELECT repo_id, branch_name, language, kind, fingerprint_kind, fingerprint, min(symbol_id) AS a, max(symbol_id) AS b FROM symbol_fingerprints WHERE symbol_id IS NOT NULL GROUP BY ALL),
+s AS (SELECT p.* FROM symbol_fingerprints p JOIN u ON p.symbol_id = u.a AND p.fingerprint = u.fingerprint AND p.fingerprint_kind = u.fingerprint_kind AND p.repo_id = u.repo_id AND p.branch_name = u.branch_name AND p.language = u.language AND p.kind = u.kind WHERE u.a <> u.b ORDER BY p.symbol_id, p.fingerprint_kind, p.fingerprint LIMIT 1)
 SELECT p.symbol_id, CAST(min(bit_count(xor(p.fingerprint, s.fingerprint))) AS INTEGER) AS distance FROM symbol_fingerprints p JOIN s ON p.repo_id = s.repo_id AND p.branch_name = s.branch_name AND p.language = s.language AND p.kind = s.kind AND p.fingerprint_kind = s.fingerprint_kind AND p.symbol_id <> s.symbol_id
 AND (p.band0 = s.band0 OR p.band1 = s.band1 OR p.band2 = s.band2 OR p.band3 = s.band3) GROUP BY 1"""
 )
 def similar_symbols(spark, d):
+    """All that is like the first symbol whose sketch another one in its scope shares."""
     p = table(spark, d, "symbol_fingerprints").select("symbol_id", *_SCOPE, "fingerprint", "band0", "band1", "band2", "band3").distinct()
-    seed = p.orderBy("symbol_id", "fingerprint_kind", "fingerprint").first()
+    shared = p.where("symbol_id is not null").groupBy(*_SCOPE, "fingerprint").agg(F.min("symbol_id").alias("symbol_id"), F.max("symbol_id").alias("last")).where("symbol_id <> last")
+    seed = shared.orderBy("symbol_id", "fingerprint_kind", "fingerprint").first()
     own = p.where((F.col("symbol_id") != seed["symbol_id"]) | ((F.col("fingerprint_kind") == seed["fingerprint_kind"]) & (F.col("fingerprint") == seed["fingerprint"])))
-    found, _ = search.similar(seed["symbol_id"], own, spark.createDataFrame([], "symbol_id string, text string"), [], k=2000)
+    texts = p.select("symbol_id", F.col("kind").alias("text"))
+    found, _ = search.similar(seed["symbol_id"], own, texts, [seed["kind"]], candidates=None, k=None)
     return found.select("symbol_id", "distance")
 
 
@@ -641,10 +656,10 @@ def related_symbols(spark, d):
 
 @query(
     f"""WITH {_EDGES}, g AS (SELECT symbol_id, least(1.0e0, sum(w) / 20.0e0) AS g FROM (SELECT source_id AS symbol_id, 1 AS w FROM edges UNION ALL SELECT target_id, 2 FROM edges) GROUP BY 1)
-SELECT CAST(p_partkey AS VARCHAR) AS symbol_id, round(coalesce(g, 0), 6) AS graph_score, round(0.7e0 * 0.5e0 + 0.3e0 * round(coalesce(g, 0), 6), 6) AS score FROM part LEFT JOIN g ON g.symbol_id = CAST(p_partkey AS VARCHAR)"""
+SELECT CAST(p_partkey AS VARCHAR) AS symbol_id, round(coalesce(g, 0), 6) AS graph_score, round(0.7e0 * (p_size / 50.0e0) + 0.3e0 * round(coalesce(g, 0), 6), 6) AS score FROM part LEFT JOIN g ON g.symbol_id = CAST(p_partkey AS VARCHAR)"""
 )
 def graph_rerank(spark, d):
-    results = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol_id"), F.lit(0.5).alias("score"), F.col("p_partkey").alias("ordinal"))
+    results = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol_id"), (F.col("p_size") / 50.0).alias("score"), F.col("p_partkey").alias("ordinal"))
     return graph.rerank(results, edges(spark, d)).select("symbol_id", "graph_score", "score")
 
 
@@ -724,11 +739,10 @@ def upsert_keep_old(spark, d):
     return R.upsert(f.where("branch_name = 'main'").select("id", "language"), f.select("id", F.lit("new").alias("language")), ["id"], update=False, order="language")
 
 
-@query("SELECT DISTINCT id, CASE WHEN language = 'Python' THEN 'new' ELSE language END AS language FROM files WHERE id IN (SELECT id FROM files GROUP BY 1 HAVING count(DISTINCT coalesce(language, '')) = 1)")
+@query("SELECT id, CASE WHEN bool_or(coalesce(language, '') = 'Python') THEN 'new' WHEN bool_or(language IS NULL) THEN NULL ELSE min(language) END AS language FROM files GROUP BY 1")
 def upsert_take_new(spark, d):
+    """All states of all ids: of several old ones the first by language, null before others."""
     f = table(spark, d, "files").select("id", "language")
-    same = f.groupBy("id").agg(F.countDistinct(F.coalesce("language", F.lit(""))).alias("n")).where("n = 1").select("id")
-    f = f.join(same, "id", "left_semi")
     return R.upsert(f, f.where("language = 'Python'").select("id", F.lit("new").alias("language")), ["id"], update=True, order="language")
 
 
@@ -783,13 +797,16 @@ def snippet_budget(spark, d):
     return R.running_budget(r, 200, "snippet", ["query_id"], "symbol_id")
 
 
-@query("SELECT event_id, event_type, user_id FROM events WHERE event_id IN (SELECT max(event_id) FROM events GROUP BY event_id)")
+@query("SELECT event_id, event_type, user_id FROM events")
 def stream_index(spark, d):
-    """Events read as a stream and upserted batch by batch; the table as it stands in the end."""
+    """Events read as a stream of several batches, one of which comes twice, deduplicated and upserted; the table as it stands in the end."""
     from ..streaming import changes
 
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
     into = new_path(spark, "stream")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    e = table(spark, d, "events").select("event_id", "ts", "event_type", "user_id")
+    e.repartitionByRange(4, "ts").write.parquet(f"{into}/source")
+    e.where("event_id % 4 = 0").repartition(1).write.mode("append").parquet(f"{into}/source")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{into}/source")
+    stream = changes.deduplicated(stream, ["event_id"], "ts", "3650 days")
     changes.index_into(stream, f"{into}/table", ["event_id"], f"{into}/state", lambda df: df.select("event_id", "event_type", "user_id"), "event_type").awaitTermination()
     return changes.current(spark, f"{into}/table")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import struct
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from plumbline.functions import vector as V
 from plumbline.operators import extract, graph, indexing, intent, jobs, orchestrator, response, search, stats
 from plumbline.operators import relational as R
 from plumbline.plans import queries
-from plumbline.sources import config, embeddings, files
+from plumbline.sources import config, embeddings, files, git
 from plumbline.streaming import changes
 
 
@@ -318,3 +319,53 @@ def test_stream_is_idempotent(spark, tmp_path):
         s = spark.readStream.schema("k int, v string").parquet(src)
         changes.index_into(s, into, ["k"], str(tmp_path / "state"), order="v").awaitTermination()
     assert sorted(map(tuple, changes.current(spark, into).collect())) == [(1, "a"), (2, "c")]
+
+
+def test_stream_rewrites_touched_parts_only(spark, tmp_path):
+    src, into = str(tmp_path / "in"), str(tmp_path / "out")
+    want = {}
+    for n in range(5):
+        rows = [(k, f"{n}") for k in ((0, 1, 2) if n == 0 else (n,))]
+        want |= dict(rows)
+        spark.createDataFrame(rows, "k int, v string").coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema("k int, v string").parquet(src)
+        changes.index_into(s, into, ["k"], str(tmp_path / "state"), order="v", parts=4).awaitTermination()
+    assert dict(map(tuple, changes.current(spark, into).collect())) == want
+    versions = changes._versions(spark, into)
+    assert all(len(v) <= 2 for v in versions.values()) and sum(len(v) for v in versions.values()) <= 8
+
+
+def test_git(spark, tmp_path):
+    repo = str(tmp_path)
+    run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=A B", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "b.bin").write_bytes(b"\x01\x00")
+    run("add", ".")
+    run("commit", "-q", "-m", "first\n\nmore")
+    (tmp_path / "a.py").rename(tmp_path / "c.py")
+    (tmp_path / "d é.py").write_text("y\n")
+    run("add", "-A")
+    run("commit", "-q", "-m", "second")
+    run("branch", "side", "HEAD~1")
+    log = git.commits(spark, repo, "main").collect()
+    assert [r["commit_message"] for r in log] == ["second", "first\n\nmore"] and log[0]["author_name"] == "A B" and log[0]["author_email"] == "a@b.c"
+    heads = {r["name"]: r["head_commit_sha"] for r in git.branches(spark, repo).collect()}
+    assert heads == {"main": log[0]["sha"], "side": log[1]["sha"]} and git.branch_exists(repo, "side") and not git.branch_exists(repo, "none")
+    assert {tuple(r) for r in git.changes(spark, repo, heads["side"], heads["main"]).collect()} == {("c.py", "Renamed", "a.py"), ("d é.py", "Added", None)}
+    assert {r["change"] for r in git.changes(spark, repo, None, heads["side"]).collect()} == {"Added"}
+    got = {r["file_path"]: r["content"] for r in git.with_contents(git.tree(spark, repo, heads["side"]), repo).collect()}
+    assert got == {"a.py": "x = 1\n", "b.bin": None} and git.tree(spark, repo, "0" * 40).count() == 0
+
+
+def test_reindex(spark):
+    cols = "repo_id string, branch_name string, commit_sha string, file_path string, content string"
+    one = spark.createDataFrame([("r", "b", "1", "a.cs", CSHARP), ("r", "b", "1", "b.py", "def f():\n    pass\n"), ("r", "b", "1", "t.md", "text"), ("r", "b", "1", "x.py", "a\x00b")], cols)
+    tables, report = indexing.reindex({}, one)
+    assert report.first().asDict() | {"symbols": 0, "edges": 0} == {"files": 4, "parsed": 2, "skipped": 1, "failed": 1, "deleted": 0, "symbols": 0, "edges": 0} and report.first()["symbols"] == 17
+    tables = {k: spark.createDataFrame(df.collect(), df.schema) for k, df in tables.items()}
+    two = spark.createDataFrame([("r", "b", "2", "b.py", "def g():\n    pass\n")], cols)
+    gone = spark.createDataFrame([("r", "b", "a.cs")], "repo_id string, branch_name string, file_path string")
+    after, report = indexing.reindex(tables, two, gone)
+    assert [r["name"] for r in after["symbols"].collect()] == ["g"] and report.first()["deleted"] == 1
+    assert {r["file_path"] for r in after["files"].collect()} == {"b.py"} and after["edges"].count() == 0 and after["chunks"].count() == after["entries"].count() == after["fingerprints"].count() == 1
