@@ -6,8 +6,11 @@ import base64
 import binascii
 import struct
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,3 +46,17 @@ def parse_query_vector(text: str | None, dims: int | None, model: str | None, mo
     if len(raw) // 4 != dims:
         return None, model, "embedding_dims_mismatch"
     return list(struct.unpack(f"<{dims}f", raw)), model, None
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def decoded(column: pd.Series) -> pd.Series:
+    """Little-endian float32 values in base64, as parse_query_vector reads them; null for what can't be read."""
+
+    def one(text: str | None) -> np.ndarray | None:
+        try:
+            raw = base64.b64decode(text.strip(), validate=True) if text and text.strip() else b"?"
+        except (binascii.Error, ValueError):
+            return None
+        return np.frombuffer(raw, dtype="<f4") if len(raw) % 4 == 0 else None
+
+    return column.map(one)

@@ -244,8 +244,8 @@ def fixture_stats(spark, d):
 _FILE_SUMS = "SELECT repo_id, count(DISTINCT id) AS file_count, CAST(sum(size_bytes) AS DOUBLE) AS total_size_bytes, CAST(sum(line_count) AS DOUBLE) AS total_lines, max(indexed_at) AS last_indexed_at FROM files GROUP BY 1"
 _REPO_STATS = f"""WITH f AS ({_FILE_SUMS}),
 s AS (SELECT repo_id, count(DISTINCT id) AS n, count(*) AS r FROM symbols GROUP BY 1), c AS (SELECT repo_id, count(DISTINCT id) AS n, count(*) AS r FROM code_chunks GROUP BY 1), v AS (SELECT repo_id, count(DISTINCT id) AS n, count(*) AS r FROM chunk_vectors GROUP BY 1)
-SELECT r.id AS repo_id, r.name, coalesce(f.file_count, 0) AS file_count, coalesce(s.n, 0) AS symbol_count, coalesce(c.n, 0) AS chunk_count, coalesce(v.n, 0) AS embedding_count, f.total_size_bytes * {{times}} AS total_size_bytes, f.total_lines * {{times}} AS total_lines, f.last_indexed_at
-FROM repos r LEFT JOIN f ON f.repo_id = r.id LEFT JOIN s ON s.repo_id = r.id LEFT JOIN c ON c.repo_id = r.id LEFT JOIN v ON v.repo_id = r.id"""
+SELECT r.id AS repo_id, r.name, coalesce(b.n, 0) AS branch_count, coalesce(f.file_count, 0) AS file_count, coalesce(s.n, 0) AS symbol_count, coalesce(c.n, 0) AS chunk_count, coalesce(v.n, 0) AS embedding_count, f.total_size_bytes * {{times}} AS total_size_bytes, f.total_lines * {{times}} AS total_lines, f.last_indexed_at
+FROM repos r LEFT JOIN f ON f.repo_id = r.id LEFT JOIN s ON s.repo_id = r.id LEFT JOIN c ON c.repo_id = r.id LEFT JOIN v ON v.repo_id = r.id LEFT JOIN (SELECT repo_id, count(DISTINCT branch_name) AS n FROM files GROUP BY 1) b ON b.repo_id = r.id"""
 
 
 def _repo_stats(spark, d, faithful):
@@ -257,18 +257,29 @@ def repo_stats(spark, d):
     return _repo_stats(spark, d, False)
 
 
-@query(_REPO_STATS.format(times="(greatest(coalesce(s.r, 1), 1) * greatest(coalesce(c.r, 1), 1) * greatest(coalesce(v.r, 1), 1))"))
+@query(_REPO_STATS.format(times="(greatest(coalesce(b.n, 1), 1) * greatest(coalesce(s.r, 1), 1) * greatest(coalesce(c.r, 1), 1) * greatest(coalesce(v.r, 1), 1))"))
 def repo_stats_fan_out(spark, d):
     """Sums multiplied as by a join of all tables before they were summed."""
     return _repo_stats(spark, d, True)
 
 
+_COUNT = "(SELECT repo_id, branch_name, count(DISTINCT id) AS n FROM {t} GROUP BY ALL) {a} ON {a}.repo_id = f.repo_id AND {a}.branch_name = f.branch_name"
+_STATES = "SELECT repo_id, branch_name, max((indexed_at, commit_sha)) AS h, max(CASE WHEN language = 'CSharp' THEN (indexed_at, commit_sha) END) AS i FROM files GROUP BY 1, 2"
+
+
 @query(
-    """SELECT f.repo_id, f.branch_name, arg_max(f.commit_sha, (f.indexed_at, f.commit_sha)) AS head_commit_sha, max(f.indexed_at) AS last_indexed_at, count(DISTINCT f.id) AS file_count, CAST(sum(f.size_bytes) AS BIGINT) AS total_size_bytes, CAST(sum(f.line_count) AS BIGINT) AS total_lines, coalesce(max(s.n), 0) AS symbol_count
-FROM files f LEFT JOIN (SELECT repo_id, branch_name, count(DISTINCT id) AS n FROM symbols GROUP BY ALL) s ON s.repo_id = f.repo_id AND s.branch_name = f.branch_name GROUP BY 1, 2"""
+    f"""WITH h AS ({_STATES}) SELECT f.repo_id, f.branch_name, arg_max(f.commit_sha, (f.indexed_at, f.commit_sha)) AS head_commit_sha, max(f.indexed_at) AS last_indexed_at, count(DISTINCT f.id) AS file_count, CAST(sum(f.size_bytes) AS BIGINT) AS total_size_bytes, CAST(sum(f.line_count) AS BIGINT) AS total_lines,
+coalesce(max(s.n), 0) AS symbol_count, coalesce(max(c.n), 0) AS chunk_count, coalesce(max(v.n), 0) AS embedding_count, max(CASE WHEN h.i IS NULL THEN 'Pending' WHEN h.i[2] = h.h[2] THEN 'Completed' ELSE 'Stale' END) AS index_state, max(h.i[2]) AS indexed_commit_sha
+FROM files f LEFT JOIN h ON h.repo_id = f.repo_id AND h.branch_name = f.branch_name LEFT JOIN {_COUNT.format(t='symbols', a='s')} LEFT JOIN {_COUNT.format(t='code_chunks', a='c')} LEFT JOIN {_COUNT.format(t='chunk_vectors', a='v')} GROUP BY 1, 2"""
 )
 def branch_stats(spark, d):
-    return stats.branch_stats(table(spark, d, "files"), table(spark, d, "symbols"))
+    f = table(spark, d, "files")
+    return stats.branch_stats(f, table(spark, d, "symbols"), table(spark, d, "code_chunks"), table(spark, d, "chunk_vectors"), jobs.branch_states(_indexed(f)))
+
+
+def _indexed(files):
+    """A branch counts as indexed up to its newest C# file."""
+    return files.select("repo_id", "branch_name", F.col("indexed_at").alias("at"), F.col("commit_sha").alias("head"), F.coalesce(F.col("language") == "CSharp", F.lit(False)).alias("indexed"))
 
 
 @query(
@@ -280,6 +291,16 @@ def language_stats(spark, d):
     return stats.language_stats(table(spark, d, "files").where("language is not null"), table(spark, d, "symbols"))
 
 
+@query("SELECT repo_id, kind, count(DISTINCT id) AS symbol_count, count(DISTINCT file_path) AS file_count FROM symbols GROUP BY 1, 2")
+def refreshed_stats(spark, d):
+    """Statistics written anew, one by name and then all, and read from their snapshots."""
+    into = new_path(spark, "stats")
+    views = {"symbol_kinds": lambda: stats.symbol_kind_stats(table(spark, d, "symbols")), "languages": lambda: table(spark, d, "files").groupBy("language").agg(F.countDistinct("id").alias("files"))}
+    stats.refresh(spark, into, views, "symbol_kinds")
+    stats.refresh(spark, into, views)
+    return stats.snapshot(spark, into, "symbol_kinds")
+
+
 @query("SELECT repo_id, kind, count(DISTINCT id) AS symbol_count, count(DISTINCT file_path) AS file_count FROM symbols GROUP BY 1, 2")
 def symbol_kind_stats(spark, d):
     return stats.symbol_kind_stats(table(spark, d, "symbols"))
@@ -295,6 +316,11 @@ def hot_symbols(spark, d):
     return stats.hot_symbols(edges(spark, d))
 
 
+@query(f"WITH {_EDGES}, {_PARTS} SELECT target_id, p.name, p.file_path, count(*) AS reference_count, count(DISTINCT CASE WHEN kind = 'Calls' THEN source_id END) AS call_count, count(DISTINCT CASE WHEN kind = 'References' THEN source_id END) AS ref_count FROM edges JOIN parts p ON p.id = target_id GROUP BY 1, 2, 3")
+def hot_symbols_named(spark, d):
+    return stats.hot_symbols_named(edges(spark, d), parts(spark, d))
+
+
 @query("SELECT repo_id, branch_name, commit_sha, count(DISTINCT file_path) AS files_changed, count(DISTINCT id) AS symbols_changed, max(indexed_at) AS committed_at FROM symbols GROUP BY 1, 2, 3")
 def recent_activity(spark, d):
     return stats.recent_activity(table(spark, d, "symbols"))
@@ -720,7 +746,23 @@ def edge_resolution(spark, d):
     return indexing.resolve_edges(e, s, s.limit(0)).where("step = 'batch exact'").select("edge_id", "target_id")
 
 
-@query()
+@query(
+    """WITH s AS (SELECT id, x.repo_id AS repo_id, x.branch_name AS branch_name, x.file_path AS file_path, x.name AS name, x.q AS q, x.parent AS parent FROM (SELECT id, arg_max(struct_pack(repo_id := repo_id, branch_name := branch_name, file_path := file_path, name := name, q := qualified_name, parent := parent_symbol_id), indexed_at) AS x FROM symbols GROUP BY 1)),
+c AS (SELECT id, x.repo_id AS repo_id, x.branch_name AS branch_name, x.file_path AS file_path, x.symbol_id AS symbol_id, x.target AS target FROM (SELECT id, arg_max(struct_pack(repo_id := repo_id, branch_name := branch_name, file_path := file_path, symbol_id := symbol_id, target := symbol_name), created_at) AS x FROM code_chunks WHERE symbol_name IS NOT NULL GROUP BY 1)),
+n AS (SELECT repo_id, branch_name, file_path, min(id) AS near FROM s WHERE parent IS NOT NULL GROUP BY 1, 2, 3),
+e AS (SELECT c.id AS edge_id, coalesce(c.symbol_id, n.near) AS source_id, c.target, c.repo_id, c.branch_name, lower(trim(c.target)) AS q, lower(trim(split_part(trim(c.target), '(', 1))) AS b, lower(CASE WHEN list_extract(string_split(split_part(trim(c.target), '(', 1), '.'), -1) = '' THEN split_part(trim(c.target), '(', 1) ELSE list_extract(string_split(split_part(trim(c.target), '(', 1), '.'), -1) END) AS simple
+  FROM c LEFT JOIN n ON n.repo_id = c.repo_id AND n.branch_name = c.branch_name AND n.file_path = c.file_path),
+k AS (SELECT *, lower(trim(q)) AS whole, lower(trim(split_part(trim(q), '(', 1))) AS base, branch_name = 'main' AS main FROM s WHERE q IS NOT NULL),
+r1 AS (SELECT whole, min(id) AS t FROM k WHERE main GROUP BY 1), r2 AS (SELECT repo_id, branch_name, whole, min(id) AS t FROM k WHERE NOT main GROUP BY 1, 2, 3),
+r3 AS (SELECT base, min(id) AS t FROM k WHERE main GROUP BY 1 HAVING count(DISTINCT id) = 1), r4 AS (SELECT repo_id, branch_name, base, min(id) AS t FROM k WHERE NOT main GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1),
+r5 AS (SELECT parent, lower(name) AS simple, min(id) AS t FROM s WHERE parent IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT e.*, o.parent AS up, r1.t AS t1, r2.t AS t2, r3.t AS t3, r4.t AS t4, r5.t AS t5, regexp_full_match(e.target, '[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}') AS guid
+  FROM e LEFT JOIN r1 ON r1.whole = e.q LEFT JOIN r2 ON r2.repo_id = e.repo_id AND r2.branch_name = e.branch_name AND r2.whole = e.q LEFT JOIN r3 ON r3.base = e.b LEFT JOIN r4 ON r4.repo_id = e.repo_id AND r4.branch_name = e.branch_name AND r4.base = e.b
+  LEFT JOIN s o ON o.id = e.source_id LEFT JOIN r5 ON r5.parent = o.parent AND r5.simple = e.simple)
+SELECT edge_id, source_id, CASE WHEN guid THEN target ELSE coalesce(t1, t2, t3, t4, t5, target) END AS target_id,
+CASE WHEN guid THEN 'id' WHEN t1 IS NOT NULL THEN 'batch exact' WHEN t2 IS NOT NULL THEN 'stored exact' WHEN t3 IS NOT NULL THEN 'batch base' WHEN t4 IS NOT NULL THEN 'stored base' WHEN t5 IS NOT NULL THEN 'sibling' ELSE 'unresolved' END AS step
+FROM x WHERE guid OR coalesce(t1, t2, t3, t4, t5) IS NOT NULL OR up IS NOT NULL"""
+)
 def edge_resolution_steps(spark, d):
     """Every chunk an edge from its symbol, or else the first one with a parent in its file, to the name it gives, by all steps: main is the batch, other branches the store."""
     latest = lambda df, by, *cs: df.groupBy("id").agg(F.max(F.struct(by, *cs)).alias("x")).select("id", *[f"x.{c}" for c in cs])
@@ -784,8 +826,7 @@ def job_requeue_stale(spark, d):
 SELECT repo_id, branch_name, h[2] AS head_commit_sha, i[2] AS indexed_commit_sha, CASE WHEN i IS NULL THEN 'Pending' WHEN i[2] = h[2] THEN 'Completed' ELSE 'Stale' END AS index_state, NOT (i IS NOT NULL AND i[2] = h[2]) AS needs_indexing FROM h"""
 )
 def branch_state(spark, d):
-    f = table(spark, d, "files").select("repo_id", "branch_name", F.col("indexed_at").alias("at"), F.col("commit_sha").alias("head"), F.coalesce(F.col("language") == "CSharp", F.lit(False)).alias("indexed"))
-    return jobs.branch_states(f)
+    return jobs.branch_states(_indexed(table(spark, d, "files")))
 
 
 @query(

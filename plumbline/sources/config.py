@@ -1,4 +1,4 @@
-"""Settings with their limits, from a dictionary, a JSON file and the environment, in rising order."""
+"""Settings with their limits, from a JSON file, the environment, a command line and a dictionary, in rising order."""
 
 from __future__ import annotations
 
@@ -30,7 +30,8 @@ class Settings:
             raise ValueError(f"profile must be Fast, Hybrid or Semantic, not {self.profile}")
 
 
-def load(path: str | None = None, prefix: str = "PLUMBLINE_SET_", **given: object) -> Settings:
+def load(path: str | None = None, prefix: str = "PLUMBLINE_SET_", argv: list[str] | None = None, **given: object) -> Settings:
+    """argv: --name value or --name=value for any setting, with - for _; others are left alone."""
     known = {f.name: f.type for f in fields(Settings)}
     out: dict[str, object] = {}
     if path:
@@ -39,5 +40,10 @@ def load(path: str | None = None, prefix: str = "PLUMBLINE_SET_", **given: objec
     for name, kind in known.items():
         if (v := os.environ.get(prefix + name.upper())) is not None:
             out[name] = int(v) if kind == "int" else v
+    words = [w for a in argv or [] for w in (a.split("=", 1) if a.startswith("--") else [a])]
+    for option, value in zip(words, words[1:]):
+        name = option.removeprefix("--").replace("-", "_")
+        if option.startswith("--") and name in known:
+            out[name] = int(value) if known[name] == "int" else value
     out.update({k: v for k, v in given.items() if v is not None})
     return Settings(**out)

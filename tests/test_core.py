@@ -369,3 +369,49 @@ def test_reindex(spark):
     after, report = indexing.reindex(tables, two, gone)
     assert [r["name"] for r in after["symbols"].collect()] == ["g"] and report.first()["deleted"] == 1
     assert {r["file_path"] for r in after["files"].collect()} == {"b.py"} and after["edges"].count() == 0 and after["chunks"].count() == after["entries"].count() == after["fingerprints"].count() == 1
+
+
+def test_http_embeddings():
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, code, what):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(what).encode())
+
+        def do_GET(self):
+            self.answer(200, {"model": "m"})
+
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["inputs"]
+            self.answer(413, {}) if len(texts) > 1 else self.answer(200, [[float(len(t))] for t in texts])
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert embeddings.embed(["a", "bb", "ccc"], embeddings.http_provider(url)) == [[1.0], [2.0], [3.0]]
+    assert embeddings.http_state(url) == (True, {"model": "m"})
+    server.shutdown()
+    server.server_close()
+    assert embeddings.http_state(url)[0] is False and embeddings.embed(["a"], embeddings.http_provider(url, 1)) == [None]
+
+
+def test_small_sources(spark, tmp_path):
+    raw = base64.b64encode(struct.pack("<2f", 1.0, 2.0)).decode()
+    df = spark.createDataFrame([(raw,), ("!!",), (None,), (" ",)], "t string")
+    assert [r[0] for r in df.select(V.decoded("t")).collect()] == [[1.0, 2.0], None, None, None]
+    assert config.load(argv=["run", "--context-lines", "2", "--profile=Hybrid", "--other", "x"]) == config.Settings(context_lines=2, profile="Hybrid")
+    (tmp_path / "a" / "bin").mkdir(parents=True)
+    (tmp_path / "a" / "x.cs").write_text("x")
+    (tmp_path / "a" / "bin" / "y.dll").write_text("y")
+    assert files.copy_corpus(str(tmp_path / "a"), str(tmp_path / "b")) == 1 and (tmp_path / "b" / "x.cs").read_text() == "x"
+    assert stats.percent(1.0) == "100.0 %"
+    with pytest.raises(KeyError):
+        stats.refresh(spark, str(tmp_path / "s"), {}, "none")
+    with pytest.raises(FileNotFoundError):
+        stats.snapshot(spark, str(tmp_path / "s"), "none")
