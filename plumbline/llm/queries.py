@@ -35,7 +35,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return rank_fusion.fuse(_lists(spark, d), LISTS).select(F.col("query").alias("query_id"), F.col("item").alias("symbol_id"), "score", "place")
+    return rank_fusion.fuse(_lists(spark, d), LISTS).select(F.col("query").alias("query_id"), F.col("item").alias("symbol_id"), (F.round("score", 6) + F.lit(0.0)).alias("score"), "place")  # no -0.0
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +171,32 @@ scored AS (SELECT query_id, symbol_id, round(avg({_inverse_normal_sql('p')}), {r
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, symbol_id) AS place FROM scored)
 """
 
+# Overlap of counted words, by joining the n-th occurrences of words: what is compared with minima elsewhere.
+_OVERLAPS = f"""
+WITH RECURSIVE t AS (SELECT id, max(content) AS content FROM code_chunks WHERE trim(id) <> '' AND length(content) >= {MIN_CHARS} GROUP BY 1),
+w AS (SELECT id, regexp_extract_all(content, '[A-Za-z0-9_]+') AS w FROM t), e AS (SELECT id, lower(x) AS x, row_number() OVER (PARTITION BY id, lower(x)) AS n FROM (SELECT id, unnest(w) AS x FROM w)),
+size AS (SELECT id, count(*) AS size FROM e GROUP BY 1), rare AS (SELECT x, n, row_number() OVER (ORDER BY count(*), x, n) AS pos FROM e GROUP BY 1, 2),
+f AS (SELECT e.id, r.pos, row_number() OVER (PARTITION BY e.id ORDER BY r.pos) AS k, s.size FROM e JOIN rare r USING (x, n) JOIN size s USING (id)),
+-- two bags that overlap enough share one of the first, rarest elements of each
+head AS (SELECT id, pos, size FROM f WHERE k <= size - ceil({OVERLAP} * size) + 1),
+met AS (SELECT DISTINCT a.id AS a, b.id AS b FROM head a JOIN head b ON a.pos = b.pos AND a.id < b.id AND least(a.size, b.size) >= {OVERLAP} * greatest(a.size, b.size)),
+pairs AS (SELECT m.a, m.b FROM met m JOIN f x ON x.id = m.a JOIN f y ON y.id = m.b AND y.pos = x.pos GROUP BY m.a, m.b, x.size, y.size HAVING count(*) >= {OVERLAP} * (x.size + y.size - count(*)))
+"""
+
 SQL: dict[str, str] = {
+    "p2_ranking": _RANKED + "SELECT query_id, symbol_id, round(score, 6) + 0.0e0 AS score, CAST(place AS INTEGER) AS place FROM placed",
+    "p6_found": f"""
+WITH v AS (SELECT id, max(struct_pack(model := model, vector := vector)) AS v FROM chunk_vectors WHERE id IS NOT NULL AND model IS NOT NULL AND len(vector) = CASE model {' '.join(f"WHEN '{m}' THEN {n}" for m, n in MODEL_DIMS.items())} ELSE {DIMS} END
+  AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1),
+n AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(CAST(a.v.vector AS DOUBLE[]), CAST(b.v.vector AS DOUBLE[])) AS c FROM v a JOIN v b ON a.v.model = b.v.model AND a.id <> b.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM n),
+best AS (SELECT a, b FROM k WHERE place <= (SELECT max(amount) FROM run_limits WHERE limit_name = 'neighbours_k') AND round(c, 6) >= {COSINE})
+SELECT a AS vector_id_a, b AS vector_id_b FROM best x WHERE a < b AND EXISTS (SELECT 1 FROM best y WHERE y.a = x.b AND y.b = x.a)""",
+    "p7_found": _OVERLAPS + "SELECT a AS chunk_id_a, b AS chunk_id_b FROM pairs",
+    "p7_groups": _OVERLAPS
+    + """, bag AS (SELECT id, list(pos ORDER BY pos) AS bag FROM f GROUP BY 1), class AS (SELECT b.id, min(b2.id) AS class_id FROM bag b JOIN bag b2 ON b.bag = b2.bag GROUP BY 1),
+links AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM pairs p JOIN class x ON x.id = p.a JOIN class y ON y.id = p.b WHERE x.class_id <> y.class_id), two AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT class_id AS id, class_id AS pos FROM class UNION SELECT r.id, b.b FROM reach r JOIN two b ON b.a = r.pos), root AS (SELECT id, min(pos) AS root FROM reach GROUP BY 1)
+SELECT c.id AS chunk_id, c.class_id, r.root AS group_id, (SELECT count(*) FROM two b WHERE b.a = c.class_id) AS links FROM class c JOIN root r ON r.id = c.class_id""",
     "p2_found": _RANKED + "SELECT query_id, symbol_id FROM placed WHERE place <= (SELECT max(amount) FROM run_limits WHERE limit_name = 'ranking_k')",
 }
