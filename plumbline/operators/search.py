@@ -115,6 +115,51 @@ def postings(df: DataFrame, key: str, fields: dict[str, tuple[str, str]]) -> Dat
     return x.groupBy(key, "token", "label").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def word_postings(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The stored form of full text: one row per key and word: keys, word, tf, len (words of the text)."""
+    x = df.select(*keys, words(text).alias("w"))
+    x = x.select(*keys, F.size("w").alias("len"), F.explode("w").alias("word"))
+    return x.groupBy(*keys, "len", "word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _terms(q: TextQuery) -> list[str]:
+    """The query's terms that count for a rank."""
+    return [*q.all, *(t for g in q.any for t in g), *(t for p in q.phrases for t in p)]
+
+
+def stored_matches(posting: DataFrame, keys: list[str], q: TextQuery, texts: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """Keys that satisfy a query, with rank, from stored word postings: only rows of the query's words are read.
+
+    texts (keys and the text) is needed for phrases: there the words' order is looked up, of those alone that hold all
+    of them. A query without any word wanted can't be answered from postings.
+    """
+    phrase_words = [t for p in q.phrases for t in p]
+    if not (q.all or q.any or q.prefixes or phrase_words):
+        raise ValueError("the query wants no word")
+    wanted = F.col("word").isin([*_terms(q), *q.none])
+    for p in q.prefixes:
+        wanted = wanted | F.col("word").startswith(p)
+    plain = TextQuery(all=[*q.all, *phrase_words], any=q.any, none=q.none, prefixes=q.prefixes)
+    terms = _terms(q)
+    tf = F.sum(F.when(F.col("word").isin(terms), F.col("tf")).otherwise(0)) if terms else F.lit(0)
+    x = posting.where(wanted).groupBy(*keys).agg(F.collect_set("word").alias("w"), tf.alias("tf"), F.max("len").alias("len"))  # at most as many words as the query matches
+    x = x.where(matches(F.col("w"), plain))
+    if q.phrases:
+        x = x.join(texts.select(*keys, F.col(text).alias("__text")), keys).where(matches(words("__text"), TextQuery(phrases=q.phrases))).drop("__text")
+    return x.select(*keys, F.round(F.col("tf") / (1 + F.log(1.0 + F.col("len"))), 6).alias("rank"))
+
+
+def stored_bm25(posting: DataFrame, totals: DataFrame, key: str, terms: list[str]) -> DataFrame:
+    """bm25 from stored word postings; totals: one row of n (texts) and mean (their words)."""
+    terms = list(dict.fromkeys(t.lower() for t in terms))
+    hits = posting.where(F.col("word").isin(terms))
+    df_ = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))  # as many rows as terms
+    y = hits.join(F.broadcast(df_), "word").crossJoin(F.broadcast(totals))  # one row of totals
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    s = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    return y.groupBy(key).agg(F.round(F.sum(s), 6).alias("score")).orderBy(F.desc("score"), key)
+
+
 def weighted(posting: DataFrame, key: str, terms: list[str], k: int | None = None) -> DataFrame:
     """Keys that hold all terms, by the sum of label weight times tf."""
     terms = list(dict.fromkeys(terms))

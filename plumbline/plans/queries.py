@@ -572,16 +572,30 @@ def fast_search(spark, d):
     return search.weighted(posting, "doc_id", ["stored", "vectors"])
 
 
+def _words_of_documents(spark, d):
+    return stored(spark, f"document words of {d}", lambda: search.word_postings(table(spark, d, "documents").where("text is not null").select("doc_id", "text").distinct().withColumn("digest", F.xxhash64("text")), ["doc_id", "digest"], "text"), "word")
+
+
+def _words_of_chunks(spark, d):
+    return stored(spark, f"chunk words of {d}", lambda: search.word_postings(table(spark, d, "code_chunks").select("id", "content").distinct().withColumn("digest", F.xxhash64("content")), ["id", "digest"], "content"), "word")
+
+
+def build_indexes(spark, d):
+    """Build what searches and graph queries read, once per session: postings, words, edges."""
+    for build in (lambda s, f: stored(s, f"document postings of {f}", lambda: _postings(s, f), "token"), _words_of_documents, _words_of_chunks, edges):
+        build(spark, d)
+
+
 @query(f"SELECT DISTINCT doc_id FROM documents WHERE list_contains({_words('text')}, 'lease') AND list_contains({_words('text')}, 'expires') AND NOT list_contains({_words('text')}, 'benchmarks')")
 def web_search(spark, d):
-    q = search.web_query("lease expires -benchmarks")
-    return table(spark, d, "documents").where(search.matches(search.words("text"), q)).select("doc_id").distinct()
+    return search.stored_matches(_words_of_documents(spark, d), ["doc_id", "digest"], search.web_query("lease expires -benchmarks")).select("doc_id").distinct()
 
 
 @query(f"SELECT DISTINCT doc_id FROM documents WHERE contains(' ' || array_to_string({_words('text')}, ' ') || ' ', ' walks parents up ') AND len(list_filter({_words('text')}, lambda t: starts_with(t, 'index'))) > 0")
 def phrase_and_prefix(spark, d):
     q = search.web_query('"walks parents up" index*')
-    return table(spark, d, "documents").where(search.matches(search.words("text"), q)).select("doc_id").distinct()
+    texts = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("digest"), "text").distinct()
+    return search.stored_matches(_words_of_documents(spark, d), ["doc_id", "digest"], q, texts).select("doc_id").distinct()
 
 
 @query(
@@ -589,7 +603,7 @@ def phrase_and_prefix(spark, d):
 SELECT id, round(r, 6) AS rank FROM m"""
 )
 def full_text_chunks(spark, d):
-    return search.full_text(table(spark, d, "code_chunks").select("id", "content").distinct(), "id", "content", "await async", None).select("id", "rank")
+    return search.stored_matches(_words_of_chunks(spark, d), ["id", "digest"], search.plain_query("await async")).select("id", "rank")
 
 
 @query(
@@ -598,8 +612,8 @@ h AS (SELECT doc_id, len(w) AS l, term, len(list_filter(w, lambda x: x = term))
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * l / mean))), 6) AS score FROM g JOIN f USING (term), n GROUP BY 1"""
 )
 def bm25_scores(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text").distinct()
-    return search.bm25(docs, "doc_id", "text", ["search", "index"])
+    totals = stored(spark, f"document totals of {d}", lambda: table(spark, d, "documents").where("text is not null").select("doc_id", "text").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(search.words("text"))).alias("mean")))
+    return search.stored_bm25(_words_of_documents(spark, d), totals, "doc_id", ["search", "index"])
 
 
 @query(

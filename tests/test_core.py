@@ -415,3 +415,19 @@ def test_small_sources(spark, tmp_path):
         stats.refresh(spark, str(tmp_path / "s"), {}, "none")
     with pytest.raises(FileNotFoundError):
         stats.snapshot(spark, str(tmp_path / "s"), "none")
+
+
+def test_stored_words(spark):
+    """Answers from stored words are those from the texts, for every kind of query."""
+    rows = [("1", "alpha beta gamma beta"), ("2", "alpha beta"), ("3", "beta delta"), ("4", None), ("5", "Gamma, beta-alpha"), ("6", "")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    p = search.word_postings(df, ["id"], "text")
+    for q in ("alpha beta", "alpha -gamma", '"beta gamma"', "gamma or delta", "del*", '"beta alpha" gam*', "nothing", "alpha or zeta beta"):
+        parsed = search.web_query(q)
+        want = {r["id"]: r["rank"] for r in search.full_text(df, "id", "text", parsed, None).collect()}
+        assert {r["id"]: r["rank"] for r in search.stored_matches(p, ["id"], parsed, df).collect()} == want, q
+    with pytest.raises(ValueError):
+        search.stored_matches(p, ["id"], search.web_query("-alpha"))
+    totals = df.where("text is not null").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(search.words("text"))).alias("mean"))
+    whole = {r["id"]: r["score"] for r in search.bm25(df.where("text is not null"), "id", "text", ["beta", "delta"]).collect()}
+    assert {r["id"]: r["score"] for r in search.stored_bm25(p, totals, "id", ["beta", "delta"]).collect()} == whole
