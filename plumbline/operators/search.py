@@ -202,6 +202,28 @@ def fuzzy_names(symbols: DataFrame, query: str, k: int | None = 50, least: float
     return x.limit(k) if k is not None else x
 
 
+def gram_postings(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The stored form of names: one row per key and trigram: keys, gram, n (trigrams of the name)."""
+    x = df.select(*keys, T.trigrams(name).alias("g"))
+    return x.select(*keys, F.size("g").alias("n"), F.explode("g").alias("gram"))
+
+
+def stored_names(posting: DataFrame, keys: list[str], query: str, least: float = FUZZY) -> DataFrame:
+    """Keys whose name is like the query, with similarity, from stored trigrams: only rows of the query's trigrams are read."""
+    grams = grams_of(query)
+    if not grams:
+        return posting.select(*keys).withColumn("similarity", F.lit(0.0)).limit(0)
+    x = posting.where(F.col("gram").isin(grams)).groupBy(*keys, "n").agg(F.count(F.lit(1)).alias("shared"))
+    x = x.withColumn("similarity", F.round(F.col("shared") / (F.col("n") + len(grams) - F.col("shared")), 6))
+    return x.where(F.col("similarity") >= least).select(*keys, "similarity")
+
+
+def grams_of(text: str) -> list[str]:
+    """The trigrams of a driver-side text, as text.trigrams gives them for a column."""
+    padded = [f"  {w} " for w in re.split("[^a-z0-9]+", text.lower()) if w]
+    return list(dict.fromkeys(w[i : i + 3] for w in padded for i in range(len(w) - 2)))
+
+
 def names(symbols: DataFrame, query: str, fuzzy: bool = True, k: int | None = 10, **scope: str | None) -> DataFrame:
     """fuzzy_names, or with fuzzy off equality in any case with similarity 1 by name."""
     if fuzzy:
@@ -218,10 +240,17 @@ def nearest_vectors(vectors: DataFrame, query: list[float], k: int = 10, metric:
     return x.where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", key).limit(k)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, k: int = 10, text_weight: float = 0.3, vector_weight: float = 0.7, **scope: str | None) -> DataFrame:
-    """Full-text rank and cosine similarity of chunks, outer-joined and added by weight; without a vector the text alone."""
+def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float] | None, k: int = 10, text_weight: float = 0.3, vector_weight: float = 0.7, ranked: DataFrame | None = None, **scope: str | None) -> DataFrame:
+    """Full-text rank and cosine similarity of chunks, outer-joined and added by weight; without a vector the text alone.
+
+    ranked: id and rank of the chunks that match, where stored words have given them already.
+    """
     chunks = R.where_given(chunks, **scope)
-    found = full_text(chunks, "id", "content", query, None).groupBy(F.col("id").alias("chunk_id")).agg(F.max("rank").alias("bm25_score"))
+    if ranked is None:
+        ranked = full_text(chunks, "id", "content", query, None)
+    elif any(v is not None for v in scope.values()):
+        ranked = ranked.join(chunks.select("id").distinct(), "id", "left_semi")
+    found = ranked.groupBy(F.col("id").alias("chunk_id")).agg(F.max("rank").alias("bm25_score"))
     if vector is None:
         both = found.withColumns({"vector_score": F.lit(0.0), "score": F.lit(text_weight) * F.col("bm25_score")})
     else:

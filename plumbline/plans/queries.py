@@ -522,9 +522,7 @@ _GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower(coalesce
 SELECT id, name, round(len(list_intersect(s.g, q.g)) * 1.0e0 / nullif(len(list_distinct(list_concat(s.g, q.g))), 0), 6) AS similarity FROM s, q WHERE round(len(list_intersect(s.g, q.g)) * 1.0e0 / nullif(len(list_distinct(list_concat(s.g, q.g))), 0), 6) >= 0.3"""
 )
 def trigram_fuzzy(spark, d):
-    q = T.trigrams(F.lit("LedgerMixer"))
-    s = table(spark, d, "symbols").select("id", "name").distinct()
-    return s.withColumn("similarity", F.round(T.set_similarity(T.trigrams("name"), q), 6)).where("similarity >= 0.3")
+    return search.stored_names(_grams_of_symbols(spark, d), ["id", "name"], "LedgerMixer")
 
 
 def _first_vector(spark, d):
@@ -580,9 +578,13 @@ def _words_of_chunks(spark, d):
     return stored(spark, f"chunk words of {d}", lambda: search.word_postings(table(spark, d, "code_chunks").select("id", "content").distinct().withColumn("digest", F.xxhash64("content")), ["id", "digest"], "content"), "word")
 
 
+def _grams_of_symbols(spark, d):
+    return stored(spark, f"name trigrams of {d}", lambda: search.gram_postings(table(spark, d, "symbols").select("id", "name").distinct(), ["id", "name"], "name"), "gram")
+
+
 def build_indexes(spark, d):
     """Build what searches and graph queries read, once per session: postings, words, edges."""
-    for build in (lambda s, f: stored(s, f"document postings of {f}", lambda: _postings(s, f), "token"), _words_of_documents, _words_of_chunks, edges):
+    for build in (lambda s, f: stored(s, f"document postings of {f}", lambda: _postings(s, f), "token"), _words_of_documents, _words_of_chunks, _grams_of_symbols, edges):
         build(spark, d)
 
 
@@ -627,7 +629,7 @@ def hybrid_search(spark, d):
     """Full text and vectors of chunks fused; the query vector is that of the first chunk with one."""
     v = table(spark, d, "chunk_vectors").where("model = 'tern-code-128' and size(vector) = 128 and exists(vector, x -> x <> 0) and forall(vector, x -> x is not null and not isnan(x))")
     q = [float(x) for x in v.orderBy("id").select("vector").first()[0]]
-    return search.hybrid(table(spark, d, "code_chunks").select("id", "content", "repo_id").distinct(), v.select("id", "chunk_id", "vector"), "await throw", q, 20)
+    return search.hybrid(table(spark, d, "code_chunks").select("id", "content", "repo_id").distinct(), v.select("id", "chunk_id", "vector"), "await throw", q, 20, ranked=search.stored_matches(_words_of_chunks(spark, d), ["id", "digest"], search.plain_query("await throw")))
 
 
 @query("SELECT id, name, 1.0e0 AS similarity FROM (SELECT DISTINCT id, name FROM symbols) WHERE lower(name) = (SELECT min(lower(name)) FROM symbols WHERE kind = 'Method')")

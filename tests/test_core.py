@@ -431,3 +431,11 @@ def test_stored_words(spark):
     totals = df.where("text is not null").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(search.words("text"))).alias("mean"))
     whole = {r["id"]: r["score"] for r in search.bm25(df.where("text is not null"), "id", "text", ["beta", "delta"]).collect()}
     assert {r["id"]: r["score"] for r in search.stored_bm25(p, totals, "id", ["beta", "delta"]).collect()} == whole
+
+
+def test_stored_trigrams(spark):
+    df = spark.createDataFrame([("1", "LedgerMixer"), ("2", "ledger"), ("3", "Other one"), ("4", None), ("5", "")], "id string, name string")
+    p = search.gram_postings(df, ["id"], "name")
+    for q in ("LedgerMixer", "ledger mixer", "other", "zz", "", "--"):
+        want = {r["id"]: r["s"] for r in df.select("id", F.round(T.trigram_similarity("name", F.lit(q)), 6).alias("s")).where("s >= 0.3").collect()}
+        assert {r["id"]: r["similarity"] for r in search.stored_names(p, ["id"], q).collect()} == want, q
