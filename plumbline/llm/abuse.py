@@ -333,6 +333,8 @@ def threshold(held: np.ndarray, votes: np.ndarray, counts: np.ndarray) -> float:
     held: scores of labelled documents by models that have not seen them. counts: documents of the collection
     per hundredth of score. A threshold that keeps a share h of the excluded documents finds at least h times as
     many as there are to be excluded, so found / h bounds their rate from above, at every threshold; the least bound is taken for it.
+    Reviewers see no fewer such documents than the collection holds: thresholds that find more than the share among
+    the labelled are left aside, if any other is there.
     """
     y = votes > 0.5
     if not y.any() or y.all() or not counts.sum():
@@ -345,6 +347,11 @@ def threshold(held: np.ndarray, votes: np.ndarray, counts: np.ndarray) -> float:
         return 1.0
     rate = max(float((found[sure] / hit[sure]).min()), 1 / counts.sum())
     f1 = 2 * np.minimum(rate * hit, found) / (rate + found)
+    few = found <= y.mean()
+    if few.any():
+        f1 = np.where(few, f1, 0.0)
+        if not f1.any():  # the models know nothing of documents they have not seen
+            return float(at[few][0])
     return float(np.median(at[f1 >= 0.98 * f1.max()]))
 
 
