@@ -480,6 +480,9 @@ def test_abuse_threshold():
     held, votes = np.concatenate([r.choice([0.85, 0.95], 100), r.choice([0.01, 0.1, 0.3], 400)]), np.repeat([1.0, 0.0], [100, 400])
     votes[[3, 200, 300]] = 1 - votes[[3, 200, 300]]
     assert 0.31 <= abuse.threshold(held, votes, counts) <= 0.85
+    # Where nothing excluded is told from the rest, no more is found than the share among the labelled.
+    blind = abuse.threshold(np.zeros(500), votes, counts)
+    assert counts[int(round(blind * 100)) :].sum() / counts.sum() <= (votes > 0.5).mean()
     assert abuse.threshold(held, votes * 0, counts) == 1.0 and abuse.threshold(held, votes, counts * 0) == 1.0
 
 
