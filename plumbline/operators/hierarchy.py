@@ -50,7 +50,7 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
     spark = df.sparkSession
     parts = partitions(spark)
     nodes = latest_nodes(df, id_col, parent_col, name_col, order_col)
-    at_nodes, at_parents = new_path(spark, "nodes"), new_path(spark, "parents")
+    at_nodes, at_parents, at_base = (new_path(spark, what) for what in ("nodes", "parents", "base"))
     nodes, total = cut_counted(nodes if paths else nodes.select("key", "id", "parent"), path=at_nodes)
     # Children are counted per parent before anything is joined on it: a parent of a third of all rows is one row here.
     parents = nodes.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).join(nodes.select(F.col("key").alias("parent"), F.lit(True).alias("there")), "parent", "left")
@@ -64,7 +64,7 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
     base = linked.join(missing, "parent", "left").withColumn("parent", F.when(F.col("missing").isNull(), F.col("parent"))).drop("missing").unionByName(nodes.where("parent is null"))
     if big:
         base = base.unionByName(nodes.where(F.col("parent").isin(hot + gone)).withColumn("parent", F.when(F.col("parent").isin(hot), F.col("parent"))))
-    base = cut(base, "base")
+    base, _ = cut_counted(base, path=at_base)
     drop_path(spark, at_nodes)  # base holds all that is still needed
     drop_path(spark, at_parents)
 
@@ -76,18 +76,21 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
 
     def kept(edges: DataFrame, n: int) -> DataFrame:
         """n edges by link, in as many partitions as their share of the table is worth; a lost one is read again from the table."""
-        e = edges.repartition(max(1, -(-parts * n // max(total, 1))), "link").sortWithinPartitions("link").persist(StorageLevel.MEMORY_AND_DISK)
+        # Two at least: a single one has no partitioning by link that joins could keep, so each would shuffle all edges once more.
+        e = edges.repartition(max(2, -(-parts * n // max(total, 1))), "link").sortWithinPartitions("link").persist(StorageLevel.MEMORY_AND_DISK)
         e.count()
         return e
 
-    def descend(start: DataFrame, nodes: DataFrame, what: str) -> tuple[DataFrame, DataFrame | None]:
-        """Start as level 0, and those of nodes that lie on the levels below it; and the keys of those that do not, or None."""
-        e = nodes.where("parent is not null").select(salted("parent", F.pmod(F.hash("key"), F.lit(SALTS)).cast("string")).alias("link"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else []))
+    def descend(start: DataFrame, nodes: DataFrame, what: str, free: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """Start as level 0, and those of nodes that lie on the levels below it; and key, id and parent of those that do not, or None. The place free holds both at first."""
+        e = nodes.where("parent is not null").select(salted("parent", F.pmod(F.hash("key"), F.lit(SALTS)).cast("string")).alias("link"), F.col("key").alias("child"), F.col("id").alias("child_id"), *(["name"] if paths else []), *(["parent"] if hot else []))
         table = new_path(spark, "edges")
         written, have = cut_counted(e, path=table)
         edges, left, into = kept(written, have), have, new_path(spark, what)
         first = start.withColumn("last", F.lit(True))
         frontier, n = cut_counted(first, path=f"{into}/block=0")
+        if free:
+            drop_path(spark, free)
         schema, level, followed, at = frontier.schema, 0, [], f"{into}/block=0"
 
         def open_() -> DataFrame:
@@ -124,16 +127,17 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
                 edges.unpersist()
                 drop_path(spark, former)
                 edges, followed = kept(written, have), []
-        rest = cut(open_().select(F.col("child").alias("key")), "unreached") if left else None
+        # Taken from the edges, which have all that is needed: the nodes need not be joined, and so shuffled, to find a few of them.
+        rest = cut(open_().select(F.col("child").alias("key"), F.col("child_id").alias("id"), F.col("parent" if hot else "link").alias("parent")), "unreached") if left else None
         edges.unpersist()
         return spark.read.schema(schema).parquet(into), rest
 
     start = [F.col("key"), F.col("id"), F.col("id").alias("root"), F.lit(0).alias("depth")]
     start += [F.coalesce("name", "id").alias("path")] if paths else []
     start += [F.array().cast("array<string>").alias("up")] if ancestors else []
-    reached, rest = descend(base.where("parent is null").select(*start), base, "levels")
+    reached, rest = descend(base.where("parent is null").select(*start), base, "levels", at_base)
 
-    cyclic = _cycles(base.join(rest, "key", "left_semi").select("key", "id", "parent") if rest is not None else base.select("key", "id", "parent").limit(0))
+    cyclic = _cycles(rest) if rest is not None else spark.createDataFrame([], "key string, id string, parent string, root string, depth int")
     no_path = [F.lit(None).cast("string").alias("path")] if paths else []
     if ancestors:
         cyclic = cut(cyclic.withColumn("name", F.lit(None).cast("string")), "cyclic")
@@ -151,18 +155,22 @@ def resolve(df: DataFrame, id_col: str, parent_col: str, name_col: str | None =
 
 def _cycles(lost: DataFrame) -> DataFrame:
     """Of nodes whose ancestors never end: key, id, parent, root (the smallest id on the cycle), depth -1 on it and -2 off it."""
-    lost, n = cut_counted(lost, "lost")
-    if not n:
-        return lost.select("key", "id", "parent", F.col("id").alias("root"), F.lit(-1).alias("depth")).limit(0)
     # After k rounds `to` is 2**k links up and `least` the smallest of the 2**k nodes passed, itself included.
     jump = lost.select("key", F.col("parent").alias("to"), F.struct("key", "id").alias("least"))
-    rounds = max(1, (n - 1).bit_length())
-    for k in range(rounds):
+    spark, at, ends = lost.sparkSession, "", 0
+    while True:
         ahead = jump.select(F.col("key").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
-        jump = jump.join(ahead, "to").select("key", F.col("to2").alias("to"), F.least("least", "least2").alias("least"))
-        if k % 3 == 2 or k == rounds - 1:
-            jump = cut(jump, "jump")
-    # 2**rounds >= n: every `to` lies on a cycle, and every node of a cycle is some node's `to`.
+        jump = jump.join(ahead, "to").select("key", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("fell"))
+        former, at = at, new_path(spark, "jump")
+        jump, _ = cut_counted(jump, path=at)
+        if former:
+            drop_path(spark, former)
+        now = jump.agg(F.countDistinct("to").alias("ends"), F.max("fell").alias("fell")).first()
+        # As many ends as a round before: links only permute them, so they are all nodes on cycles and no others. No least fell: twice as
+        # far round a cycle finds none smaller, so each is its cycle's. It takes as many rounds as doubling needs for the longest way.
+        if now["ends"] == ends and not now["fell"]:
+            break
+        ends = now["ends"]
     on = jump.select(F.col("to").alias("key")).distinct().join(jump.select("key", F.col("least.id").alias("root")), "key")
     on = cut(on, "on-cycle")
     off = jump.join(on.select("key"), "key", "left_anti").select("key", "to").join(on.withColumnRenamed("key", "to"), "to").select("key", "root", F.lit(-2).alias("depth"))

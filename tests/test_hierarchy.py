@@ -99,3 +99,44 @@ def test_descendants_on_and_below_cycles(spark, monkeypatch, seed):
     if not seed:
         assert {("j", "k", 1), ("h", "k", 2), ("i", "k", 3), ("g", "k", 4), ("h", "i", 2)} <= set(got)
         assert {p["node_id"]: p["cycle"] for p in x.where("depth = -1").collect()} == {"f": [], "g": ["i", "h"], "h": ["g", "i"], "i": ["h", "g"]}
+
+
+def shuffled(spark, run):
+    """What run gives, and the rows that were shuffled for it; no join is broadcast, as with large tables."""
+    bus, store, jvm = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+
+    def so_far():
+        bus.waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = so_far()
+        got = run()
+        return got, sum(n for k, n in so_far().items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_long_chains_do_not_shuffle_their_edges_at_each_level(spark):
+    rows = [(f"w{i}", None if i < 50 else f"w{i % 50}", "w", 1, "", "") for i in range(900)] + [(f"c{j}x{i}", f"c{j}x{i - 1}", "c", 1, "", "") for j in range(8) for i in range(24)]
+    got, n = shuffled(spark, lambda: run(spark, rows, paths=False))
+    assert {k: (r["root_id"], r["depth"]) for k, r in got.items()} == brute(rows)
+    assert n < 9 * len(rows), n
+
+
+def test_short_cycles_take_few_rounds_and_leave_the_trees_alone(spark):
+    ring = lambda j: [(f"r{j}x{i}", f"r{j}x{(i + 1) % 3}", "r", 1, "", "") for i in range(3)] + [(f"t{j}", f"r{j}x0", "t", 1, "", "")]
+    rows = [(f"w{i}", None if i < 50 else f"w{i % 50}", "w", 1, "", "") for i in range(400)] + [x for j in range(100) for x in ring(j)]
+    got, n = shuffled(spark, lambda: run(spark, rows, paths=False))
+    assert {k: (r["root_id"], r["depth"]) for k, r in got.items()} == brute(rows)
+    assert n < 15 * len(rows), n
+
+
+@pytest.mark.parametrize("tail, ring", [(0, 1), (0, 11), (1, 1), (9, 2), (17, 5), (3, 16), (33, 1)])
+def test_rounds_suffice_for_long_ways_into_cycles(spark, monkeypatch, tail, ring):
+    monkeypatch.setattr(H, "HOT_CHILDREN", 5)
+    rows = [(f"{(i * 7) % ring:02d}", f"{((i + 1) * 7) % ring:02d}", "r", 1, "", "") for i in range(ring)] + [(f"a{i:02d}", f"a{i + 1:02d}" if i + 1 < tail else "00", "t", 1, "", "") for i in range(tail)]
+    rows += [(f"leaf{i}", "00", "x", 1, "", "") for i in range(20)]
+    assert {k: (r["root_id"], r["depth"]) for k, r in run(spark, rows, paths=False).items()} == brute(rows)
